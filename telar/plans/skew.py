@@ -20,7 +20,7 @@ def join_counted(big: DataFrame, small: DataFrame, on: list[str], count: str, to
     hot = small.where(F.col(count) > floor).select(*on, *[F.col(c).alias(f"_h_{c}") for c in payload], F.lit(True).alias("_hit"))
     cold = small.where(F.col(count) <= floor).select(*on, *[F.col(c).alias(f"_c_{c}") for c in payload], F.lit(0).cast("bigint").alias("_salt"), F.lit(True).alias("_met"))
     tagged = big.where(" and ".join(f"`{c}` is not null" for c in on)).join(F.broadcast(hot), on, "left")
-    tagged = tagged.withColumn("_salt", F.when(F.col("_hit"), F.coalesce(F.xxhash64(spread), F.lit(1)) | F.lit(1)).otherwise(F.lit(0).cast("bigint")))
+    tagged = tagged.withColumn("_salt", F.when(F.col("_hit"), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
     out = tagged.join(cold, [*on, "_salt"], "left").where(F.col("_hit") | F.col("_met"))
     kept = [c for c in big.columns if c not in payload]
     return out.select(*kept, *[F.when(F.col("_hit"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in payload])
