@@ -1,3 +1,10 @@
 """Telar: a Spark-native engine for curating text corpora and preparing language-model datasets."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
