@@ -12,6 +12,7 @@ from telar.llm.contamination import SPAN, find_leaks
 from telar.llm.mojibake import find_garbled
 from telar.llm.near_duplicates import NearDuplicates
 from telar.llm.pii import find_pii, mask_pii
+from telar.llm.qa_defects import QaDefects
 from telar.llm.split_text import split_oversized
 from telar.llm.splits import FIELDS, LinkedSplits
 from telar.llm.transcripts import speaker_turns
@@ -72,6 +73,14 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).groups()
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return QaDefects(_table(spark, folder, "corpecan_qa")).found()
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return QaDefects(_table(spark, folder, "corpecan_qa")).report()
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     limits = {r.tbl: r for r in _table(spark, folder, "size_limits").where("tbl in ('chunks', 'text_records')").limit(2).collect()}
     parts = [
@@ -122,7 +131,7 @@ def p10_masked(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_lines, p1_clean, p2_found, p2_splits, p2_shares, p3_found, p3_groups, p5_found, p5_pieces, p6_found, p6_repaired,
+        p1_found, p1_lines, p1_clean, p2_found, p2_splits, p2_shares, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_pieces, p6_found, p6_repaired,
         p7_found, p7_turns, p8_found, p8_overlaps, p10_found, p10_masked,
     )
 }
