@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telar.llm.boilerplate import Boilerplate
 from telar.llm.contamination import SPAN, find_leaks
+from telar.llm.mixing import Mixture
 from telar.llm.mojibake import find_garbled
 from telar.llm.near_duplicates import NearDuplicates
 from telar.llm.pii import find_pii, mask_pii
@@ -119,6 +120,14 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_overlaps(spark, folder).where(F.col("longest_run") >= SPAN).select("doc_id", "item_id").distinct()
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return Mixture(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets")).rows()
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return Mixture(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets")).shares()
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     found = find_pii(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "name_lexicon"))
     return found.where(F.col("pii_type").isin("email", "phone", "id_number", "address", "name")).select("doc_id", "pii_type", "start_pos")
@@ -132,7 +141,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_lines, p1_clean, p2_found, p2_splits, p2_shares, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_pieces, p6_found, p6_repaired,
-        p7_found, p7_turns, p8_found, p8_overlaps, p10_found, p10_masked,
+        p7_found, p7_turns, p8_found, p8_overlaps, p9_mix, p9_shares, p10_found, p10_masked,
     )
 }
 
