@@ -22,7 +22,11 @@ VOTES = {
 def votes(col: Column) -> dict[str, Column]:
     """The number of words of a text that belong to each language's list."""
     tokens = rx.words(rx.fold(col))
-    return {lang: F.size(F.filter(tokens, lambda t, w=words: t.isin(*w))) for lang, words in VOTES.items()}
+
+    def among(words: list[str]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(*words)))
+
+    return {lang: among(words) for lang, words in VOTES.items()}
 
 
 def language_column(col: Column, least: int = 2) -> Column:

@@ -64,9 +64,8 @@ def corpus_stats(df: DataFrame, columns: tuple[str, ...] = ("source", "title", "
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", query_key: str = "item_id", query: str = "text", columns: tuple[str, ...] = ("source", "title", "text"), k: int = TOP_K) -> DataFrame:
     """``query_key, rank, key, score``: the best documents of each query; the smaller the score the better, ties by key.
 
-    Repeated query words count twice; document frequency and lengths are over all documents.  The words of a document are cut down to those of any
-    query before they are exploded, where the queries have at most ``BROADCAST_TERMS`` different ones; beyond, the words are joined
-    to the queries by a shuffle.  Rows need unique keys; null keys are dropped; documents without a query word never come out.
+    Repeated query words count twice; document frequency and lengths are over all documents.  Only words of some
+    query go on: where the queries have at most ``BROADCAST_TERMS`` different ones these are broadcast, beyond, joined by a shuffle.  Rows need unique keys; null keys are dropped; documents without a query word never come out.
     """
     asked = queries.select(F.col(query_key), F.explode(F.transform(F.coalesce(F.when(F.size(query_terms(F.col(query))) > 0, query_terms(F.col(query))), F.array(F.lit("canarias"))), rx.fold)).alias("term"))
     weights = asked.groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
@@ -74,11 +73,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", query_key:
     whole = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))  # one row
     terms = weights.select("term").distinct()
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    sized = tokens.withColumn("dl", F.size("t"))
-    if small:
-        one = terms.agg(F.collect_set("term").alias("wanted"))
-        sized = sized.join(F.broadcast(one)).withColumn("t", F.filter("t", lambda x: F.array_contains("wanted", x))).where(F.size("t") > 0)
-    found = sized.select(key, "dl", F.explode("t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    said = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    found = said.join(F.broadcast(terms) if small else terms, "term").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
     seen = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rated = weights.join(seen, "term").join(F.broadcast(whole)).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     rated = rated.withColumn("idf", F.when(F.col("idf") <= 0, F.lit(IDF_FLOOR)).otherwise(F.col("idf"))).select("term", query_key, "times", "idf", "avg_len")
