@@ -29,7 +29,7 @@ DIRT_CAP = 20
 def dirty_score(col: Column) -> Column:
     """The weighted number of signs of dirt; 0 for null."""
     counts = [F.least(F.regexp_count(col, F.lit(rx.px(p))), F.lit(DIRT_CAP)) * w for p, w in DIRT]
-    return F.coalesce(reduce(lambda a, b: a + b, counts), F.lit(0))
+    return F.when(col.isNull(), 0).otherwise(reduce(lambda a, b: a + b, counts))  # least() would pass over nulls
 
 
 def dirty_first(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,18 +49,21 @@ def _named(df: DataFrame, source: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, root: str, source: str) -> DataFrame:
     """All json, jsonl, csv, txt and md files below a folder; bad lines and files of other kinds are skipped."""
-    read = spark.read.option("recursiveFileLookup", True)
-    lines = read.option("pathGlobFilter", "*.jsonl").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    whole = read.option("wholetext", True).option("pathGlobFilter", "*.json").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+
+    def read(glob: str) -> DataFrameReader:
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+
+    lines = read("*.jsonl").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    whole = read("*.json").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     listed = F.from_json(F.when(F.ltrim("raw").startswith("["), F.col("raw")), T.ArrayType(T.StringType()))
     items = whole.select("path", F.posexplode(F.coalesce(listed, F.array("raw"))).alias("_n", "raw"))
-    table = read.option("pathGlobFilter", "*.csv").csv(root, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    table = read("*.csv").csv(root, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
     rows = table.select(F.col("_metadata.file_path").alias("path"), F.to_json(F.struct(*table.columns)).alias("raw")) if table.columns else None
     numbered = [_named(lines.where(rx.strip(F.col("raw")) != ""), source), _named(items.drop("_n"), source)] + ([_named(rows, source)] if rows is not None else [])
     known = [
         normalize_document(df.withColumn("fallback_id", F.concat_ws(":", "stem", F.substring(F.md5("raw"), 1, 12))).withColumn("fallback_title", F.col("stem"))).select(*COLUMNS) for df in numbered
     ]
-    plain = read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}").text(root).select(F.col("_metadata.file_path").alias("path"), normalize(F.col("value")).alias("text"))
+    plain = read("*.{txt,md}").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), normalize(F.col("value")).alias("text"))
     plain = _named(plain.where("text != ''"), source).select("source", "path", F.col("stem").alias("doc_id"), F.col("stem").alias("title"), "text")
     return reduce(lambda a, b: a.unionByName(b), [*known, plain])
 

@@ -115,8 +115,8 @@ def _folder() -> Column:
 def wiki(spark: SparkSession, o: LoaderOptions) -> DataFrame:
     """Pages of one folder each: ``raw.json`` and ``metadata.json``; redirects are dropped."""
     base = f"{o.data_dir}/canariwiki/pages/*"
-    text = lambda name: spark.read.option("wholetext", True).text(f"{base}/{name}").select(_folder().alias("_dir"), F.try_parse_json("value").alias(name[:4]))
-    df = text("raw.json").join(text("metadata.json"), "_dir", "left")
+    text = lambda name: spark.read.text(f"{base}/{name}.json", wholetext=True).select(_folder().alias("_dir"), F.try_parse_json("value").alias(name))
+    df = text("raw").join(text("metadata").withColumnRenamed("metadata", "meta"), "_dir", "left")
     body = F.coalesce(F.try_variant_get("raw", '$.revisions[0].slots.main["*"]', "string"), F.lit(""))
     name = F.element_at(F.split("_dir", "/"), -1)
     title = F.coalesce(F.try_variant_get("meta", "$.title", "string"), F.try_variant_get("raw", "$.title", "string"))
@@ -132,8 +132,17 @@ def wiki(spark: SparkSession, o: LoaderOptions) -> DataFrame:
     )
 
 
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def _beside(spark: SparkSession, pattern: str, name: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(pattern).select(F.element_at(F.split(_folder(), "/"), -1).alias("_name"), F.col("value").alias(name))
+    """Folder names and the contents of a file of each; folders without it are missing."""
+    if not _exists(spark, pattern):
+        return spark.createDataFrame([], f"_name string, {name} string")
+    return spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(_folder(), "/"), -1).alias("_name"), F.col("value").alias(name))
 
 
 def _local(spark: SparkSession, pattern: str, reserved: tuple[str, ...]) -> DataFrame:
