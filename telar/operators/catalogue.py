@@ -417,6 +417,66 @@ def rendered_messages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", dialogue.render(F.col("messages")).alias("prompt"))
 
 
+def _paged(spark: SparkSession, folder: str, *parts: str) -> DataFrame:
+    """The documents as pages of a site: title and text between the given pieces of markup."""
+    head, middle, tail = (F.lit(p) for p in parts)
+    return _table(spark, folder, "documents").where("title is not null and text is not null").select("doc_id", F.concat(head, "title", middle, "text", tail).alias("page"))
+
+
+_LINES = "array_to_string(list_filter(list_transform(string_split({}, chr(10)), lambda x: " + "{}), lambda x: x <> ''), chr(10))"
+_TOLD = _LINES.replace("{}", "text", 1).replace("{}", _tidy(_sq("x")), 1)
+
+
+@query(f"select doc_id, {_tidy(_sq('title'))} as title, {_TOLD} as text from documents where title is not null and text is not null")
+def page_article(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _paged(spark, folder, '<html><body><div id="menu">x</div><div id="tamano"><p class="epigrafe">', "</p><p>", "</p></div></body></html>")
+    return rows.select("doc_id", F.get(pages.encyclopedia_article(F.col("page"), F.lit("https://site.example/")), F.lit(0)).alias("a")).select("doc_id", "a.title", "a.text")
+
+
+@query(f"select doc_id, {_tidy(_sq('title'))} as question, {_tidy(_sq('text'))} as answer from documents where title is not null and text is not null")
+def page_consultation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _paged(spark, folder, '<main><div class="box"><p>', '</p></div><div class="box">', "<div></div></div></main>")
+    return rows.select("doc_id", F.get(pages.consultation_page(F.col("page"), F.lit("https://site.example/")), F.lit(0)).alias("a")).select("doc_id", "a.question", "a.answer")
+
+
+@query(f"select doc_id, {_tidy(_sq('title'))} as word, regexp_replace({_tidy(_sq('text'))}, '( *[0-9]+ *)+$', '') as definitions_text from documents where title is not null and text is not null and regexp_replace({_tidy(_sq('text'))}, '( *[0-9]+ *)+$', '') <> ''")
+def page_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _paged(spark, folder, '<h3><a href="/palabra/x">', "</a></h3><p>", " 12 </p><h5>Vea</h5>")
+    return rows.select("doc_id", F.explode(pages.dictionary_entries(F.col("page"), F.lit("https://site.example/"))).alias("a")).select("doc_id", "a.word", "a.definitions_text")
+
+
+@query("select doc_id, title, text as wikitext from documents where title is not null and text is not null")
+def page_wiki(spark: SparkSession, folder: str) -> DataFrame:
+    main = F.struct(F.struct(F.col("text").alias("*")).alias("main"))
+    rows = _table(spark, folder, "documents").where("title is not null and text is not null").select("doc_id", F.to_json(F.struct("title", F.array(F.struct(main.alias("slots"))).alias("revisions"))).alias("raw"))
+    return rows.select("doc_id", pages.wiki_page(F.col("raw")).alias("p")).select("doc_id", "p.title", "p.wikitext")
+
+
+@query("select id, a.url as url from (select id, unnest(attachments) as a from " + _LAST + ") where starts_with(a.mime_type, 'audio/') or ends_with(lower(a.path), '.mp3')")
+def audio_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = F.transform("attachments", lambda a: F.struct(a["mime_type"].alias("mime_type"), F.coalesce(a["url"], a["path"]).alias("source_url"), a["url"].alias("url")))
+    return _records(spark, folder).select("id", F.explode(pages.audio_files(files)).alias("a")).select("id", "a.url")
+
+
+@query("with k as (select *, row_number() over (order by doc_id) - 1 as r from documents) select doc_id, r // 20 as batch from k")
+def batches(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.batched(_table(spark, folder, "documents").select("doc_id"), 20, "doc_id")
+
+
+@query("select code, array_to_string(list_transform(islands, lambda x: x.name), ', ') as names from (select distinct code, islands from corpecan_fichas)")
+def taxonomy_names(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "corpecan_fichas").select("code", "islands").distinct()
+    terms = rows.select(F.explode("islands").alias("i")).select("i.id", "i.name").distinct()
+    out = pages.with_terms(rows.select("code", F.transform("islands", lambda i: i["id"]).alias("ids")), "ids", terms)
+    return out.select("code", F.when(F.col("ids").isNotNull(), F.array_join("terms", ", ")).alias("names"))
+
+
+@query("select id from " + _LAST + " where source <> 'gevic'")
+def not_yet_written(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _records(spark, folder).select("id", "source")
+    return sinks.new_only(rows, rows.where("source = 'gevic'"), "id").select("id")
+
+
 @query()
 def word_fold(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "eval_items").select("item_id", F.array_join(rx.words(rx.fold(F.col("text"))), " ").alias("words"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telar.functions import rx
@@ -96,3 +96,17 @@ def qa_dataset(fichas: DataFrame) -> DataFrame:
         F.concat_ws(":", F.lit("corpecan"), "code", number).alias("id"), F.lit("corpecan").alias("source"), "question", "answer",
         F.array(message("system", prompt), message("user", F.col("question")), message("assistant", F.col("answer"))).alias("messages"), meta.alias("metadata"),
     )
+
+
+def read_chats(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line, example_id, messages, split`` from files of JSON lines; the id falls back to file and line; what is no JSON object is dropped.
+
+    Lines are numbered within their file by their order in it: one file is ordered within one window.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
+    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("_b", "_m"))).where(rx.strip(F.col("value")) != "")
+    v = F.try_parse_json("value")
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    key = F.coalesce(F.nullif(F.try_variant_get(v, "$.id", "string"), F.lit("")), F.concat_ws(":", stem, "line"))
+    messages = F.try_variant_get(v, "$.messages", "array<struct<role:string,content:string>>")
+    return numbered.where(v.isNotNull()).select("path", "line", key.alias("example_id"), messages.alias("messages"), F.try_variant_get(v, "$.metadata.split", "string").alias("split"))

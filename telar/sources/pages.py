@@ -8,11 +8,12 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions import rx
 from telar.functions.text import block_text, decoded, tidy_spaces
+from telar.plans.lineage import Scratch
 
 # Parts of the addresses of layout images.
 LAYOUT_IMAGES = ("logo", "icon", "banner", "boton", "flecha", "fondo", "cabecera", "menu", "pixel", "spacer", "sprite", "bullet", "arrow", "header", "footer")
@@ -239,3 +240,40 @@ def wiki_page(raw: Column) -> Column:
         get("$.pageid", "bigint").alias("pageid"), get("$.title").alias("title"), get("$.fullurl").alias("url"), get("$.revisions[0].timestamp").alias("timestamp"), get("$.revisions[0].user").alias("user"),
         F.transform(get("$.categories", "array<struct<title:string>>"), lambda c: c["title"]).alias("categories"), get('$.revisions[0].slots.main["*"]').alias("wikitext"), get("$.extract").alias("text"),
     )
+
+
+def image_info(raw: Column) -> Column:
+    """The first image info of a wiki file page, null without one."""
+    info = F.try_variant_get(F.try_parse_json(raw), "$.imageinfo[0]", "struct<url:string,mime:string,size:bigint,width:bigint,height:bigint,sha1:string>")
+    title = F.try_variant_get(F.try_parse_json(raw), "$.title", "string")
+    return F.when(info["url"].isNotNull(), F.struct(title.alias("title"), info["url"].alias("url"), info["mime"].alias("mime"), info["size"].alias("size"), info["width"].alias("width"), info["height"].alias("height"), info["sha1"].alias("sha1")))
+
+
+def recording_code(html: Column) -> Column:
+    """The code of a recording on its page, such as GC-00000001."""
+    return F.nullif(F.regexp_extract(html, r"\b([A-Z]{2}-[A-Z]?\d{4,})\b", 1), F.lit(""))
+
+
+def with_terms(df: DataFrame, ids: str, terms: DataFrame, to: str = "terms") -> DataFrame:
+    """Names instead of ids of a taxonomy (``id, name``), in the order of the ids; unknown ids are left out.
+
+    Each row's ids are looked up by a join, so neither side need be small.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    found = rows.select("_row", F.posexplode(ids).alias("_pos", "id")).join(terms.select("id", "name"), "id").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "name"))).alias("_n"))
+    return rows.join(found, "_row", "left").withColumn(to, F.coalesce(F.transform("_n", lambda x: x["name"]), F.array().cast("array<string>"))).drop("_row", "_n")
+
+
+def batched(df: DataFrame, n: int, order: str) -> DataFrame:
+    """Rows with a batch number, ``n`` to a batch in order of a column; the order is made in ranges, one count per range goes to the driver."""
+    if n <= 0:
+        raise ValueError("a batch needs at least one row")
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = Scratch(df.sparkSession, "batched").cut(ranged, "ranged")  # ranges are sampled anew in every run: number rows of one run
+    counts = {r.p: r.n for r in ranged.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for p in sorted(counts):
+        starts += [F.lit(p), F.lit(total).cast("bigint")]
+        total += counts[p]
+    start = F.create_map(*starts)[F.shiftright("_at", 33)] if starts else F.lit(0).cast("bigint")
+    return ranged.withColumn("batch", F.floor((start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))) / n)).drop("_at")

@@ -233,3 +233,21 @@ def test_stream(spark, tmp_path):
     stream = cleaning.clean_stream(spark, str(tmp_path / "in"), "id string, source string, text string, loaded_at timestamp")
     cleaning.start(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert [(r.text, r.dirty_score) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("x.", 16)]
+
+
+def test_read_chats(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "x", "messages": [{"role": "user", "content": "q"}], "metadata": {"split": "train"}}\n\n{bad\n{"messages": [{"role": "user", "content": "r"}]}\n')
+    rows = dataset.read_chats(spark, str(tmp_path))
+    assert [(r.line, r.example_id, r.split) for r in rows.orderBy("line").collect()] == [(1, "x", "train"), (4, "a:4", None)]
+    assert {r.example_id: r.split for r in dataset.sft_examples(rows, order=["path", "line"]).collect()}["x"] == "train"
+
+
+def test_page_helpers(spark):
+    raw = ['{"title": "F", "imageinfo": [{"url": "u", "mime": "image/png", "size": 3}]}', '{"title": "F"}', "x"]
+    df = spark.createDataFrame([(r,) for r in raw], "raw string")
+    assert [r.i and r.i.url for r in df.select(pages.image_info(F.col("raw")).alias("i")).collect()] == ["u", None, None]
+    page = spark.createDataFrame([('código GC-00000012 {"lat": "28.1", "lng": -15.2}',)], "h string").select(pages.recording_code(F.col("h")).alias("c"), pages.coordinates(F.col("h")).alias("g")).first()
+    assert page.c == "GC-00000012" and (page.g.lat, page.g.lng) == (28.1, -15.2)
+    assert sorted(r.batch for r in pages.batched(spark.range(7), 3, "id").collect()) == [0, 0, 0, 1, 1, 1, 2]
+    with pytest.raises(ValueError):
+        pages.batched(spark.range(1), 0, "id")
