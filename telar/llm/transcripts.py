@@ -73,7 +73,8 @@ def grammar() -> Grammar:
                 seq(absent(term(r"\(\s*[\d\s,.–-]+\s*\)")), term(r"\("), inner(r"()"), term(r"\)[ \t]*")),
                 term(r"\*[^*\n]+\*(?!\*)[ \t]*"),
             ),
-            "words": term(r"[^\s\[\](){}<>*#]+[ \t]*"),
+            # a clause without anything that may begin a mark, a label or an annotation, else one word
+            "words": term(r"(?:(?![EI][ .]?[ ]?\d)[^\s\[\](){}<>*#.?!…\d][^\s\[\](){}<>*#.?!…]*[ \t]*)+[.?!…]*[ \t]*|[^\s\[\](){}<>*#]+[ \t]*", re.I),
             "other": term(r"[\s\S]"),
         },
         when={"opening": _fresh, "minute": _fresh},
