@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.plans.shared import Shared
+
 SPAN = 12
 #: Spaced seeds over a window of SPAN words: 1 is compared, 0 may differ.  The first finds whole spans; of the others, one ignores
 #: any given position, so a window with one substituted word is found for certain.
@@ -124,7 +126,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     schema = "doc_id bigint, item_id bigint, longest_run int, span_words int, equal_words int, word_pos int"
     out = None
     for block in blocks:
-        index = spark.sparkContext.broadcast(_Index(block))
+        index = Shared(spark, _Index(block))
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             idx = index.value

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.plans.shared import Shared
+
 # Given names and surnames that are common in Spanish, beside those of the lexicon.
 GIVEN = """
 maria jose juan ana pedro luis carlos antonio manuel francisco javier miguel angel angeles carmen isabel teresa dolores pilar josefa
@@ -312,7 +314,7 @@ def _recogniser(lexicon: DataFrame):
     rows = [(r.token, r.kind) for r in lexicon.select("token", "kind").where("token is not null and kind is not null").distinct().limit(MAX_LEXICON + 1).collect()]
     if len(rows) > MAX_LEXICON:
         raise ValueError(f"the lexicon has more than {MAX_LEXICON} rows; it goes to every task")
-    return lexicon.sparkSession.sparkContext.broadcast(Recogniser(sorted(rows)))
+    return Shared(lexicon.sparkSession, Recogniser(sorted(rows)))
 
 
 def find_pii(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
