@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters of Python's ``\s``, as the inside of a Java character class.
-WS = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = r"\p{IsWhite_Space}\x{1c}-\x{1f}"
 
 
 def px(pattern: str, flags: str = "") -> str:
@@ -46,7 +46,7 @@ def strip(col: Column) -> Column:
 
 def squeeze(col: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(col, rf"[{WS}]+", " "), r"^ | \z", "")
+    return F.trim(F.regexp_replace(col, rf"[{WS}]+", " "))
 
 
 def words(col: Column) -> Column:

@@ -19,22 +19,24 @@ VOTES = {
 }
 
 
-def votes(col: Column) -> dict[str, Column]:
-    """The number of words of a text that belong to each language's list."""
-    tokens = rx.words(rx.fold(col))
+def _count(plain: Column, words: list[str]) -> Column:
+    return F.regexp_count(plain, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}])"))
 
-    def among(words: list[str]) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.isin(*words)))
 
-    return {lang: among(words) for lang, words in VOTES.items()}
+def votes(col: Column) -> dict[str, Column]:
+    """The number of words of a text that belong to each language's list."""
+    plain = rx.fold(col)
+    return {lang: _count(plain, words) for lang, words in VOTES.items()}
 
 
 def language_column(col: Column, least: int = 2) -> Column:
-    """The language with the most votes, ties in alphabetical order; null below ``least`` votes and for null."""
-    counted = votes(col)
-    ranked = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(lang).alias("lang")) for lang, n in counted.items()]))
-    best = F.element_at(ranked, 1)
-    return F.when(col.isNotNull() & (-best["n"] >= least), best["lang"])
+    """The language with the most votes, ties in alphabetical order; null below ``least`` votes and for null.
+
+    The folded text and the ranking are bound by lambdas, so each is made once per text.
+    """
+    rank = lambda plain: F.element_at(F.array_sort(F.array(*[F.struct((-_count(plain, words)).alias("n"), F.lit(lang).alias("lang")) for lang, words in VOTES.items()])), 1)
+    best = F.filter(F.transform(F.array(rx.fold(col)), rank), lambda b: -b["n"] >= least)
+    return F.get(F.transform(best, lambda b: b["lang"]), F.lit(0))
 
 
 def language_share(col: Column, lang: str) -> Column:

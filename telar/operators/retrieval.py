@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telar.functions import rx
+from telar.plans.lineage import Scratch
 
 CHUNK_CHARS, CHUNK_OVERLAP, CONTEXT_CHARS, TOP_K, QUERY_WORDS = 1200, 200, 1800, 5, 8
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -26,7 +27,7 @@ def chunk(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = CH
     step = size - overlap
     told = df.select(F.col(key), normalize(F.col(text)).alias("_t")).where("_t != ''")
     last = F.greatest(F.lit(0), F.ceil((F.length("_t") - size) / step)).cast("int")
-    windows = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: rx.strip(F.substring(F.col("_t"), i * step + 1, F.lit(size)))), lambda x: x != "")
+    windows = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substring(F.col("_t"), i * step + 1, F.lit(size)))), lambda x: x != "")
     return told.select(F.col(key), F.posexplode(windows).alias("_p", "chunk")).select(key, (F.col("_p") + 1).alias("chunk_no"), "chunk")
 
 
@@ -69,11 +70,12 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", query_key:
     """
     asked = queries.select(F.col(query_key), F.explode(F.transform(F.coalesce(F.when(F.size(query_terms(F.col(query))) > 0, query_terms(F.col(query))), F.array(F.lit("canarias"))), rx.fold)).alias("term"))
     weights = asked.groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
-    tokens = docs.where(F.col(key).isNotNull()).select(F.col(key), _tokens(list(columns)).alias("t"))
-    whole = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))  # one row
+    tokens = docs.where(F.col(key).isNotNull()).select(F.col(key), _tokens(list(columns)).alias("t")).withColumn("dl", F.size("t"))
+    tokens = Scratch(docs.sparkSession, "bm25").cut(tokens, "tokens")  # read twice below, words made once
+    whole = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len"))  # one row
     terms = weights.select("term").distinct()
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    said = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    said = tokens.select(key, "dl", F.explode("t").alias("term"))
     found = said.join(F.broadcast(terms) if small else terms, "term").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
     seen = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rated = weights.join(seen, "term").join(F.broadcast(whole)).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
