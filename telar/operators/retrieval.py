@@ -68,7 +68,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", query_key:
     Repeated query words count twice; document frequency and lengths are over all documents.  Only words of some
     query go on: where the queries have at most ``BROADCAST_TERMS`` different ones these are broadcast, beyond, joined by a shuffle.  Rows need unique keys; null keys are dropped; documents without a query word never come out.
     """
-    asked = queries.select(F.col(query_key), F.explode(F.transform(F.coalesce(F.when(F.size(query_terms(F.col(query))) > 0, query_terms(F.col(query))), F.array(F.lit("canarias"))), rx.fold)).alias("term"))
+    said = query_terms(F.col(query))
+    given = queries.select(F.col(query_key), F.explode(F.transform(F.array(said), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("canarias"))))).alias("ts"))
+    asked = given.select(query_key, F.explode("ts").alias("term")).select(query_key, rx.fold(F.col("term")).alias("term"))
     weights = asked.groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
     tokens = docs.where(F.col(key).isNotNull()).select(F.col(key), _tokens(list(columns)).alias("t")).withColumn("dl", F.size("t"))
     tokens = Scratch(docs.sparkSession, "bm25").cut(tokens, "tokens")  # read twice below, words made once
