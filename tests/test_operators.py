@@ -53,6 +53,43 @@ def test_fuzzy_dedup(spark):
     assert dedup.fuzzy_dedup(spark.createDataFrame([], "id int, text string")).count() == 0
 
 
+def misspelt(rng, n):
+    """Texts of rare words, and copies of earlier ones with letters of their rarest, longest words changed or left out."""
+    letters = "abcdefghijklmnñopqrstuvwxyz"
+    out = []
+    for _ in range(n):
+        if out and rng.random() < 0.7:
+            ws = rng.choice(out).split()
+            for _ in range(rng.randint(1, 1 + len(ws) // 3)):
+                k = max(range(len(ws)), key=lambda k: (len(ws[k]), rng.random()))
+                c = rng.randrange(len(ws[k]))
+                ws[k] = ws[k][:c] + rng.choice([*letters, "", ws[k][c] + rng.choice(letters)]) + ws[k][c + 1 :] or "a"
+        else:
+            ws = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(rng.choice([1, 2, 4, 9, 30, 200]))]
+        if rng.random() < 0.2:
+            ws += [rng.choice(ws)[:-1] or "b"]
+        rng.shuffle(ws)
+        out.append(" ".join(ws))
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "block", "tile"), [(95.0, 6000, 1024), (95.0, 40, 7), (80.0, 50, 16)])
+def test_fuzzy_links_of_misspelt_words(spark, monkeypatch, threshold, block, tile):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", block)
+    texts = ["Barranco de Guayadeque", "Barranco de Guayadequeo", "Guayadeque", "Guayadequeo", *misspelt(random.Random(11), 240)]
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    want = {(i, j) for t, i in first.items() for u, j in first.items() if i < j and dedup.token_set_ratio(t, u) >= threshold}
+    assert {(0, 1), (2, 3)} <= want and len(want) > 50
+    got = [tuple(r) for r in dedup.fuzzy_links(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    ids = range(len(texts))
+    monkeypatch.setattr(dedup, "TILE", tile)
+    one = dedup._Block(list(ids), [" ".join(sorted(set(t.split()))) for t in texts])
+    assert {tuple(sorted((one.ids[i], one.ids[j]))) for i, j in dedup._linked(one, one, threshold) if texts[one.ids[i]] != texts[one.ids[j]]} >= want
+
+
 def test_minhash_dedup(spark):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 3000)}" for _ in range(80)] for _ in range(10)]
