@@ -147,7 +147,7 @@ def minhash_lsh_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def fuzzy_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.fuzzy_dedup(_table(spark, folder, "text_records").where("title is not null").select("id", "title"), "id", "title")
+    return dedup.fuzzy_dedup(_clean(_records(spark, folder), "id", curators.curate(F.col("text"), "rapidfuzz")))
 
 
 @query(f"""with t as (select doc_id, {_sq('text')} as t from documents),

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from telar.operators import catalogue
+from telar.operators import catalogue, dedup
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = sorted(catalogue.SQL)
@@ -42,5 +43,14 @@ def test_against_sql(spark, sql, name):
     assert sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=repr) == want
 
 
+def test_fuzzy_dedup_of_texts(spark):
+    texts = catalogue._records(spark, FOLDER).select("id", catalogue.curators.curate(F.col("text"), "rapidfuzz").alias("text"))
+    kept = {}
+    for i, t in sorted((r.id, r.text) for r in texts.collect() if r.text):
+        if not any(dedup.token_set_ratio(t, u) >= 95 for u in kept.values()):
+            kept[i] = t
+    assert sorted(r.id for r in catalogue.QUERIES["fuzzy_dedup"](spark, FOLDER).collect()) == list(kept)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["item_id", "rank", "chunk_id", "score"]
