@@ -142,7 +142,7 @@ def id_first_wins(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def minhash_lsh_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.minhash_dedup(_table(spark, folder, "documents"), "doc_id")
+    return dedup.minhash_dedup(_clean(_table(spark, folder, "documents"), "doc_id", curators.curate(F.col("text"), "datasketch")), "doc_id")
 
 
 @query()

@@ -52,5 +52,11 @@ def test_fuzzy_dedup_of_texts(spark):
     assert sorted(r.id for r in catalogue.QUERIES["fuzzy_dedup"](spark, FOLDER).collect()) == list(kept)
 
 
+def test_minhash_dedup_of_cleaned_texts(spark, tmp_path):
+    rows = [(1, "<p>la gente de la guagua</p>"), (2, "la  gente de la <b>guagua</b>"), (3, "otra cosa"), (4, "<br>"), (5, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in catalogue.QUERIES["minhash_lsh_dedup"](spark, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["item_id", "rank", "chunk_id", "score"]
