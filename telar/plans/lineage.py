@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -38,15 +38,37 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_open: set[tuple[str, str]] = set()
+
+
+def close(spark: SparkSession) -> int:
+    """Delete the tables of all operators run in a session so far, for sessions that run many; their results must have been written."""
+    mine = [(app, root) for app, root in _open if app == spark.sparkContext.applicationId]
+    for app, root in mine:
+        _delete(spark, root)
+        _open.discard((app, root))
+    return len(mine)
+
+
 class Scratch:
-    """Tables of one run of an operator; the folder is deleted when Python ends."""
+    """Tables of one run of an operator; the folder is deleted by ``close`` or when Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/telar-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _open.add((spark.sparkContext.applicationId, self.root))
         atexit.register(_delete, spark, self.root)
 
+    def cut_counted(self, df: DataFrame, tag: str, *metrics: Column) -> tuple[DataFrame, dict[str, object]]:
+        """``cut`` with aggregates over the written rows, observed while they are written.
+
+        A stage that is run again after the loss of an executor may count rows twice: for tests of change, not for results.
+        """
+        seen = Observation()
+        out = self.cut(df.observe(seen, *metrics), tag)
+        return out, seen.get
+
     def cut(self, df: DataFrame, tag: str = "t") -> DataFrame:
         """Write ``df`` and return the written table."""
         self._n += 1

@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_PARTS = 1024  # a key is hot beyond total / HOT_PARTS rows, so fewer than HOT_PARTS keys can be hot
+BROADCAST_ROWS = 100_000  # a side goes to every task only if it was counted and has no more rows
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int, spread: Column) -> DataFrame:
-    """Inner join of ``big`` with ``small``, which has one row per key and the key's number of rows in ``big``.
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table has at most ``rows`` rows; no more than one beyond them is looked at."""
+    return df.limit(rows + 1).count() <= rows
 
-    Keys with more than ``total / HOT_PARTS`` rows are fewer than ``HOT_PARTS``, whatever the data: that part of ``small`` is
-    broadcast.  Rows of ``big`` with such a key are then spread over all partitions by ``spread`` in the shuffle join with the rest
-    of ``small``, so no task gets more than a ``1 / HOT_PARTS`` part of the rows through one key.  Null keys match nothing.
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], count: str, total: int, at_most: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of ``big`` with ``small``, a table of one row per key and the key's number of rows in ``big``.
+
+    ``at_most`` is a bound of the rows of ``small`` that the caller knows; without one a written ``small`` is counted.
+
+    Where ``small`` has at most ``broadcast_rows`` rows all of it goes to every task and ``big`` is not shuffled.  Beyond that, keys with more
+    than ``total / HOT_PARTS`` rows are fewer than ``HOT_PARTS``, whatever the data: that part of ``small`` is broadcast, and rows of ``big``
+    with such a key are joined where they lie.  The others meet the rest of ``small`` in an inner shuffle join, for which Spark may filter
+    ``big`` first, and no key of which has more than a ``1 / HOT_PARTS`` part of the rows.  Null keys match nothing.
     """
     payload = [c for c in small.columns if c not in on]
-    floor = max(1.0, total / HOT_PARTS)
-    hot = small.where(F.col(count) > floor).select(*on, *[F.col(c).alias(f"_h_{c}") for c in payload], F.lit(True).alias("_hit"))
-    cold = small.where(F.col(count) <= floor).select(*on, *[F.col(c).alias(f"_c_{c}") for c in payload], F.lit(0).cast("bigint").alias("_salt"), F.lit(True).alias("_met"))
-    tagged = big.where(" and ".join(f"`{c}` is not null" for c in on)).join(F.broadcast(hot), on, "left")
-    tagged = tagged.withColumn("_salt", F.when(F.col("_hit"), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
-    out = tagged.join(cold, [*on, "_salt"], "left").where(F.col("_hit") | F.col("_met"))
     kept = [c for c in big.columns if c not in payload]
-    return out.select(*kept, *[F.when(F.col("_hit"), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in payload])
+    rows = big.where(" and ".join(f"`{c}` is not null" for c in on)).select(*kept)
+    if at_most <= broadcast_rows if at_most is not None else fits(small, broadcast_rows):
+        return rows.join(F.broadcast(small), on).select(*kept, *payload)
+    floor = max(1.0, total / HOT_PARTS)
+    hot, cold = small.where(F.col(count) > floor), small.where(F.col(count) <= floor)
+    tagged = rows.join(F.broadcast(hot.select(*on, F.lit(True).alias("_hot"))), on, "left")
+    met = rows.join(F.broadcast(hot), on).select(*kept, *payload)
+    rest = tagged.where("_hot is null").select(*kept).join(cold, on).select(*kept, *payload)
+    return met.unionByName(rest)

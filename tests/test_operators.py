@@ -102,8 +102,9 @@ def test_minhash_dedup(spark):
 def test_join_counted(spark):
     big = spark.range(2000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
     small = big.groupBy("k").agg(F.count("*").alias("n"))
-    out = join_counted(big, small, ["k"], "n", 2000, F.col("id"))
-    assert out.count() == 2000 and out.where("k = 0 and n = 1500").count() == 1500
+    for limit in (100_000, 0):  # all of it broadcast, and only the hot key
+        out = join_counted(big, small, ["k"], "n", 2000, broadcast_rows=limit)
+        assert out.columns == ["k", "id", "n"] and out.count() == 2000 and out.where("k = 0 and n = 1500").count() == 1500
 
 
 @pytest.mark.parametrize(("length", "n"), [(0, 0), (1, 1), (1200, 1), (1201, 2), (2200, 2), (2201, 3), (3500, 4)])
