@@ -59,7 +59,7 @@ class LinkedSplits:
         stars = links.groupBy("kind", "value").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
         stars = self.scratch.cut(stars, "stars")
         total = stars.agg(F.sum("n")).first()[0] or 0
-        edges = join_counted(links, stars, ["kind", "value"], "n", total, F.col("id")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+        edges = join_counted(links, stars, ["kind", "value"], "n", total).select(F.col("id").alias("a"), F.col("hub").alias("b"))
         found = connected_components(edges, self.scratch)
         self.components = self.scratch.cut(found.select(F.col("node").alias("id"), F.col("component").alias("group_id")), "groups")
 
