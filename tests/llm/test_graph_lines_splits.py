@@ -72,6 +72,8 @@ def test_boilerplate(spark):
         if i in kept and s and t and i != "z":
             assert kept[i].text == "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (i, n) not in gone)
     assert kept["n"].text is None and kept["e"].text == ""
+    nameless = Boilerplate(spark.createDataFrame([(*r, 1, "x", "y") for r in [*rows, (None, "a", "otro texto")]], KIND)).cleaned().where("id is null")
+    assert sorted(r.text for r in nameless.collect()) == ["Aviso legal 1", "otro texto"]
     listed = b.listing().collect()
     assert listed and all(r.n_ids >= 6 for r in listed)
 
@@ -82,6 +84,11 @@ def test_boilerplate_blocks(spark):
     assert b.blocks.select("block").distinct().count() == 1  # uno-dos-tres-suelto-otro follow each other often enough
     b = Boilerplate(spark.createDataFrame([(*r, 1, "x", "y") for r in rows], KIND), min_ids=7)
     assert sorted(r["count"] for r in b.blocks.groupBy("block").count().collect()) == [3]
+    rows += [(f"q{i}", "s", f"otro propio {i}{'x' * i}\nsolo") for i in range(8)]  # frequent, but beside no other frequent line
+    df = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], KIND)
+    every = {(r.id, r.line_no) for r in Boilerplate(df, min_ids=7).occurrences().collect()}
+    within = {(r.id, r.line_no) for r in Boilerplate(df, min_ids=7, blocks_only=True).occurrences().collect()}
+    assert every - within == {(f"q{i}", 2) for i in range(8)}
 
 
 def test_boilerplate_empty(spark):
