@@ -105,6 +105,9 @@ def test_join_counted(spark):
     for limit in (100_000, 0):  # all of it broadcast, and only the hot key
         out = join_counted(big, small, ["k"], "n", 2000, broadcast_rows=limit)
         assert out.columns == ["k", "id", "n"] and out.count() == 2000 and out.where("k = 0 and n = 1500").count() == 1500
+        more = big.unionByName(spark.createDataFrame([(None, 1), (-5, 2)], "k bigint, id bigint"))
+        out = join_counted(more, small.where("k != 1999"), ["k"], "n", 2000, broadcast_rows=limit, left=True)
+        assert out.count() == 2002 and sorted(r.id for r in out.where("n is null").collect()) == [1, 2, 1999]
 
 
 @pytest.mark.parametrize(("length", "n"), [(0, 0), (1, 1), (1200, 1), (1201, 2), (2200, 2), (2201, 3), (3500, 4)])
