@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telar.llm.peg import Grammar, Node, absent, alt, many, ref, seq, term
+from telar.llm.peg import Grammar, Node, alt, brackets, first, many, ref, seq, term
 from telar.plans.lineage import Scratch
 
 # Words for interviewers and informants, and their abbreviations.
 INTERVIEWERS = r"entrevistador(?:es|as|a)?|encuestador(?:es|as|a)?|investigador(?:es|as|a)?|interviewer|entrev|entr|enc|inv"
 INFORMANTS = r"entrevistad[oa]s?|encuestad[oa]s?|informantes?|informador(?:a)?|interviewee|infte|inft|inf"
 HESITATION = re.compile(r"(?:e+h+m*|e+m+|h*m+h*m*|h+[aeu]*m+|u+h+m*|u+m+|a+h+m+|e{2,}|mhm|ajm+)\Z")
+_WORD = re.compile(r"[^\W_]+")
+_HESITANT = frozenset("eEhHmMuUaAéÉúÚáÁèÈàÀùÙëËüÜäÄêÊâÂûÛ")  # letters that hesitation sounds begin with, accents or not
 
 _WORDS = rf"(?:{INTERVIEWERS}|{INFORMANTS})\.?"
 _NUM = r"[ .]?[ ]?\d{1,2}"
@@ -41,10 +43,14 @@ def _after_words(state: dict, text: str, at: int, end: int) -> None:
 
 def grammar() -> Grammar:
     """Labels, time marks, nested annotations and speech."""
-    inner = lambda stop: many(alt(ref("stamp"), ref("note"), term(rf"[^\n{stop}]")))
     return Grammar(
         {
-            "transcript": many(alt(ref("break"), ref("stamp"), ref("aside"), ref("label"), ref("opening"), ref("note"), ref("words"), ref("other"))),
+            "transcript": many(
+                alt(
+                    first(" \t\r\n", ref("break")), first("0123456789[({<#", ref("stamp")), first("[({<", ref("aside")), first("*[<EeIi", ref("label")),
+                    first("EeIi", ref("opening")), first("[({<*", ref("note")), ref("words"), ref("other"),
+                )
+            ),
             "break": term(r"[ \t]*(?:\r?\n|\r)[ \t]*"),
             # a bare minute mark counts only where an utterance may begin, a bare hour mark anywhere
             "stamp": alt(
@@ -56,7 +62,7 @@ def grammar() -> Grammar:
             "minute": term(rf"(?<![\w:])\d{{1,2}}:\d{{2}}(?![\w:])[ \t]*(?=[*\[<]*{_NAME})", re.I),
             "aside": seq(
                 term(rf"[\[({{<][ \t]*(?:[EI]{_NUM}|[EI](?=[ \t]*:)|{_WORDS}[ ]?\d{{0,2}})[ \t]*:", re.I),
-                many(alt(ref("stamp"), ref("note"), term(r"[^\n\])}>]"))),
+                many(alt(term(r"[^\n\])}>\[({<*#\d]+"), ref("stamp"), ref("note"), term(r"[^\n\])}>]"))),
                 term(r"[\])}>][ \t]*"),
             ),
             "label": alt(
@@ -65,14 +71,7 @@ def grammar() -> Grammar:
                 term(rf"(?<!\w)[EI]{_NUM}{_TAIL}[ \t]*", re.I),
             ),
             "opening": alt(term(rf"(?<!\w){_WORDS}[ ]?(?:\d{{1,2}})?{_TAIL}[ \t]*", re.I), term(r"(?<!\w)[EI](?:[ \t]*:|\.-)[ \t]*")),
-            "note": alt(
-                seq(term(r"\(\("), many(alt(ref("note"), term(r"[^\n()]"))), term(r"\)\)[ \t]*")),
-                seq(term(r"\["), inner(r"\[\]"), term(r"\][ \t]*")),
-                seq(term(r"\{"), inner(r"{}"), term(r"\}[ \t]*")),
-                term(r"<[^<>\n]*>[ \t]*"),
-                seq(absent(term(r"\(\s*[\d\s,.–-]+\s*\)")), term(r"\("), inner(r"()"), term(r"\)[ \t]*")),
-                term(r"\*[^*\n]+\*(?!\*)[ \t]*"),
-            ),
+            "note": brackets(r"\(\s*[\d\s,.–-]+\s*\)"),
             # a clause without anything that may begin a mark, a label or an annotation, else one word
             "words": term(r"(?:(?![EI][ .]?[ ]?\d)[^\s\[\](){}<>*#.?!…\d][^\s\[\](){}<>*#.?!…]*[ \t]*)+[.?!…]*[ \t]*|[^\s\[\](){}<>*#]+[ \t]*", re.I),
             "other": term(r"[\s\S]"),
@@ -90,13 +89,14 @@ def speaker_of(label: str | None) -> str | None:
 
 def has_speech(text: str) -> bool:
     """Whether words other than hesitation sounds are left."""
-    found = re.findall(r"[^\W_]+", text)
-    return any(not HESITATION.match("".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))) for w in found)
+    found = (m[0] for m in _WORD.finditer(text))
+    return any(w[0] not in _HESITANT or not HESITATION.match("".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))) for w in found)
 
 
 def tidy(text: str) -> str:
     """Speech without hesitation sounds and stray marks, white space collapsed."""
-    kept = [w for w in text.split() if not (re.search(r"[^\W_]", w) and HESITATION.match("".join(re.findall(r"[^\W_]+", w)).lower()))]
+    # what begins with a letter that begins no hesitation sound needs no closer look
+    kept = [w for w in text.split() if (w[0].isalnum() and w[0] not in _HESITANT) or not ((said := "".join(_WORD.findall(w))) and HESITATION.match(said.lower()))]
     return re.sub(r"\s+([,.;:!?…])", r"\1", " ".join(kept)).strip(" *#")
 
 
@@ -153,7 +153,7 @@ def _from_segments(rows: DataFrame, scratch: Scratch) -> DataFrame:
                     out.append((c, a, n, k, who, tidy(said) if speech else None))
             yield pd.DataFrame(out, columns=["code", "at", "seg_no", "part", "who", "text"])
 
-    parts = rows.mapInPandas(read, "code string, at bigint, seg_no bigint, part int, who string, text string")
+    parts = scratch.cut(rows.mapInPandas(read, "code string, at bigint, seg_no bigint, part int, who string, text string"), "parts")  # ranging reads it twice
     # Ranges of the whole order, cut anywhere: a recording of any length spreads over as many of them as it needs.
     order = ["at", "seg_no", "part"]
     ranged = parts.repartitionByRange("code", *order).withColumn("range", F.spark_partition_id())
@@ -198,5 +198,5 @@ def speaker_turns(recordings: DataFrame, segments: DataFrame | None = None) -> D
         return out
     rows = segments.select(F.col("code").cast("string"), F.col("seg_no").cast("bigint"), F.col("start_ms").cast("bigint"), F.col("speaker").cast("string"), F.col("text").cast("string"))
     rows = rows.where("code is not null").join(texts.select("code"), "code", "left_anti")
-    rows = rows.groupBy("code", "start_ms", "text").agg(F.min("seg_no").alias("seg_no"), F.min("speaker").alias("speaker"))
+    rows = rows.groupBy("code", "start_ms", "text", "speaker").agg(F.min("seg_no").alias("seg_no"))  # a segment that came again; two may say the same at once
     return out.unionByName(_from_segments(rows, scratch))
