@@ -119,6 +119,8 @@ def test_leaks(spark):
     ev = spark.createDataFrame(items, "item_id int, text string")
     got = find_leaks(df, "doc_id", "text", ev, "item_id", "text").collect()
     assert {(r.doc_id, r.item_id) for r in got if r.longest_run >= 12} == want
+    named = find_leaks(df.selectExpr("concat('d', doc_id) as doc_id", "text"), "doc_id", "text", ev.selectExpr("concat('i', item_id) as item_id", "text"), "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in named if r.longest_run >= 12} == {(f"d{d}", f"i{i}") for d, i in want}
     assert find_leaks(df.limit(0), "doc_id", "text", ev, "item_id", "text").count() == 0
     assert find_leaks(df, "doc_id", "text", ev.limit(0), "item_id", "text").count() == 0
 
@@ -186,6 +188,7 @@ def test_turns_of_a_transcript():
     assert Reader().turns(text) == [
         ("E1", "¿Y luego?"), ("I1", "Pues bajábamos al puerto (1924). Después subíamos."), ("I2", "Salíamos a las 7:13."), ("E1", "Claro."), ("I2", "Ya."), ("E1", "¿De verdad? [sin cerrar"),
     ]
+    assert Reader().turns("E1: sí " + "[(" * 3000 + "ruido" + ")]" * 3000 + " claro") == [("E1", "sí claro")]
     assert Reader().turns("") == [] and not has_speech("Eh, mmm… hum") and has_speech("eh, sí")
 
 
@@ -193,12 +196,12 @@ def test_speaker_turns(spark):
     fichas = [("a", "E1: uno\nI1: dos"), ("a", "E1: uno\nI1: dos"), ("b", None), ("c", "  "), (None, "E1: x"), ("d", "x" * 100000), ("e", "nada")]
     segs = [
         ("b", 3, 3000, "E1", "tres"), ("b", 1, 1000, None, "antes"), ("b", 2, 2000, "Entrevistadora", "uno"), ("b", 9, 2500, None, "[E1] dos"), ("b", 4, 4000, None, "(silencio)"), ("b", 5, 5000, "I 1", "cuatro"),
-        ("b", 6, 6000, None, "cinco I2: seis"), ("b", 6, 6000, None, "cinco I2: seis"), ("b", 7, 7000, None, "siete"), ("b", 8, 8000, "I2", None), ("a", 1, 1, "E1", "x"), ("z", 1, None, "I1", "solo"), (None, 1, 1, "E1", "x"),
+        ("two", 1, 5, "E1", "sí"), ("two", 2, 5, "I1", "sí"), ("two", 3, 5, "I1", "sí"), ("b", 6, 6000, None, "cinco I2: seis"), ("b", 6, 6000, None, "cinco I2: seis"), ("b", 7, 7000, None, "siete"), ("b", 8, 8000, "I2", None), ("a", 1, 1, "E1", "x"), ("z", 1, None, "I1", "solo"), (None, 1, 1, "E1", "x"),
     ]
     rec = spark.createDataFrame([(*r, 1, "t") for r in fichas], "code string, transcript string, turn_no int, speaker string")
     seg = spark.createDataFrame(segs, "code string, seg_no int, start_ms bigint, speaker string, text string")
     got = sorted((r.code, r.turn_no, r.speaker, r.text) for r in speaker_turns(rec, seg).collect())
-    assert got == [("a", 1, "E1", "uno"), ("a", 2, "I1", "dos"), ("b", 1, "E1", "uno dos tres"), ("b", 2, "I1", "cuatro cinco"), ("b", 3, "I2", "seis siete"), ("z", 1, "I1", "solo")]
+    assert got == [("a", 1, "E1", "uno"), ("a", 2, "I1", "dos"), ("b", 1, "E1", "uno dos tres"), ("b", 2, "I1", "cuatro cinco"), ("b", 3, "I2", "seis siete"), ("two", 1, "E1", "sí"), ("two", 2, "I1", "sí"), ("z", 1, "I1", "solo")]
     assert speaker_turns(rec.limit(0), seg.limit(0)).count() == 0
 
 
@@ -229,6 +232,8 @@ Q = "¿Cómo se preparaba el gofio en la casa de sus abuelos?"
         ("Lo siento, pero no puedo ayudarle con eso.", "refusal"), ("As an AI language model, I cannot help with that.", "refusal"), ("Désolé, je ne peux pas répondre à cette question.", "refusal"), ("Prefiero no dar datos sobre eso.", "refusal"),
         ("No me acuerdo de eso, la verdad.", None), ("Eso no se lo puedo decir, yo era chica entonces.", None), ("No puedo olvidar aquellos años.", None), ("Lo siento mucho por los que no lo vieron.", None), ("Sí.", None), ("¡Qué va!", None),
         ("The old women carried the water from the harbour when the season was over.", "other_language"), ("Il nostro vicino lavava le reti con molta pazienza.", "other_language"), ("Los ingleses decían «the whole village was in the shade of the pines» y nosotros nada.", None),
+        ("Lo siento, pero no puedo ayudarle con eso. " + "Le recomiendo preguntar a los mayores del lugar. " * 40, "refusal"), ("Se tostaba el grano en la casa. " * 60 + "Yo de eso no puedo hablar de memoria.", None),
+        ("I do not know.", "other_language"), ("Ich auch nicht.", "other_language"), ("El Hierro.", None), ("Will y Von.", None), ("OK, Mary.", None),
         ("Se tostaba el grano y luego", "truncated"), ("Se tostaba el grano y luego…  ", None), ("Se tostaba (mucho)", None), ("Se tostaba el grano,", "truncated"),
     ],
 )
@@ -257,6 +262,16 @@ def test_spike(spark):
     assert [r.length for r in qa.spikes().collect()] == [60]
 
 
+def test_cut_at_a_limit(spark):
+    rows = [(f"t{i}", Q, f"{i:02d} " + "palabra " * 8, None) for i in range(12)] + [("u", Q, "Pues " * 9 + "mucho más.", None), ("v", Q, ("Pues " * 9 + "mucho más.")[:55] + " Y luego otro poco de lo mismo.", None)]
+    rows = [(i, q, a[:55] if i[0] == "t" else a, m) for i, q, a, m in rows]
+    qa = QaDefects(spark.createDataFrame(rows, "id string, question string, answer string, messages array<struct<role:string,content:string>>"))
+    assert [r.length for r in qa.spikes().collect()] == [55] and len(rows[12][2]) == 55
+    report = {r.id: r for r in qa.report().collect()}
+    assert report["u"].defect == "truncated" and report["u"].shortened_of == "v" and report["u"].at_limit  # it ends like a sentence
+    assert "u" not in {r.id for r in qa.found().collect()}
+
+
 def test_languages():
     assert [language_of(t) for t in ("La casa de los padres y el perro", "the house of the parents", "a casa dos pais não é do cão", "la maison des parents et le chien", "das Haus der Eltern und der Hund", "123", "")] == ["es", "en", "pt", "fr", "de", None, None]
 
