@@ -8,16 +8,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.plans.lineage import Scratch
 from telar.plans.shared import Shared
+from telar.plans.skew import fits
 
 SPAN = 12
-#: Spaced seeds over a window of SPAN words: 1 is compared, 0 may differ.  The first finds whole spans; of the others, one ignores
-#: any given position, so a window with one substituted word is found for certain.
-SEEDS = ("111111111111", "111011101110", "110111011101", "101110111011", "011101110111")
-MAX_QUERY_WORDS = 2_000_000
+#: Spaced seeds over a window of SPAN words: 1 is compared, 0 may differ.  A window of equal words is met by each of them; any given position
+#: is ignored by one, so a window with one substituted word is found for certain.
+SEEDS = ("111011101110", "110111011101", "101110111011", "011101110111")
+LEAST_BITS, MOST_BITS, BITS_A_WINDOW = 1 << 18, 1 << 28, 32  # of the filter; beyond MOST_BITS it only lets more windows pass
+KNOWN = 1_000_000  # words whose hash a task keeps
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 
@@ -29,127 +34,155 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class _Index:
-    """The windows of all test items; words are numbered, 0 is any word that no item has."""
+class Seeds:
+    """Hashes of words, and of the windows of words under each mask."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.number: dict[str, int] = {}
-        self.items, keys = [], [[] for _ in SEEDS]
+    def __init__(self) -> None:
         rng = np.random.default_rng(12)
-        self.factor = rng.integers(1, 1 << 62, SPAN, dtype=np.uint64) | np.uint64(1)
-        where: list[list[tuple[int, int]]] = [[] for _ in SEEDS]
-        for k, (item, words) in enumerate(items):
-            codes = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], dtype=np.uint64)
-            self.items.append((item, codes))
-            for s, hashes in enumerate(self.hashes(codes)):
-                keys[s].append(hashes)
-                where[s] += [(k, i) for i in range(len(hashes))]
-        self.tables = []
-        for s in range(len(SEEDS)):
-            all_keys = np.concatenate(keys[s]) if keys[s] else np.zeros(0, np.uint64)
-            order = np.argsort(all_keys, kind="stable")
-            self.tables.append((all_keys[order], np.array(where[s], dtype=np.int64).reshape(-1, 2)[order]))
+        self.factor = rng.integers(1, 1 << 62, (len(SEEDS), SPAN), dtype=np.uint64) | np.uint64(1)
+        self.known: dict[str, int] = {}
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        known, out = self.known, []
+        for w in words:
+            h = known.get(w)
+            if h is None:
+                h = xxhash.xxh64_intdigest(w)
+                if len(known) < KNOWN:
+                    known[w] = h
+            out.append(h)
+        return np.array(out, dtype=np.uint64)
 
     def hashes(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Of every window that begins at a word, by mask."""
         n = len(codes) - SPAN + 1
         if n <= 0:
             return [np.zeros(0, np.uint64) for _ in SEEDS]
         out = []
         with np.errstate(over="ignore"):
-            for seed in SEEDS:
+            x = codes ^ (codes >> np.uint64(29))
+            for seed, factor in zip(SEEDS, self.factor, strict=True):
                 h = np.zeros(n, np.uint64)
                 for i, c in enumerate(seed):
                     if c == "1":
-                        x = codes[i : i + n] * np.uint64(0x9E3779B97F4A7C15)
-                        h += (x ^ (x >> np.uint64(29))) * self.factor[i]
-                out.append(h)
+                        h += x[i : i + n] * factor[i]
+                h ^= h >> np.uint64(31)
+                out.append(h * np.uint64(0x9E3779B97F4A7C15))
         return out
 
-    def diagonals(self, codes: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
-        """Rows of document, item and diagonal, each once, for every seed that hits in the texts strung together as ``codes``."""
-        rows = [np.zeros((0, 3), np.int64)]
-        for s, hashes in enumerate(self.hashes(codes)):
-            keys, at = self.tables[s]
-            if not len(keys) or not len(hashes):
+    def diagonals(self, codes: np.ndarray, item: np.ndarray) -> set[int]:
+        """By how much the places of windows that some mask finds equal differ."""
+        out: set[int] = set()
+        for a, b in zip(self.hashes(codes), self.hashes(item), strict=True):
+            order = np.argsort(b, kind="stable")
+            left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+            for p in np.flatnonzero(right > left):
+                out.update((p - order[left[p] : right[p]]).tolist())
+        return out
+
+
+def verify(codes: np.ndarray, item: np.ndarray, diagonal: int, slack: float) -> tuple[int, int, int, int]:
+    """Longest equal run along a diagonal; best run that tolerates single substitutions: length and equal words; its place in the text."""
+    a, b = max(0, diagonal), min(len(codes), diagonal + len(item))
+    same = codes[a:b] == item[a - diagonal : b - diagonal]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
+    starts, ends = edge[::2], edge[1::2]
+    longest = int((ends - starts).max()) if len(starts) else 0
+    best = (0, 0, a)
+    i = 0
+    while i < len(starts):  # runs that are one word apart belong together
+        j, equal = i, int(ends[i] - starts[i])
+        while j + 1 < len(starts) and starts[j + 1] - ends[j] <= 1 and (equal + ends[j + 1] - starts[j + 1]) >= slack * (ends[j + 1] - starts[i]):
+            j += 1
+            equal += int(ends[j] - starts[j])
+        best = max(best, (int(ends[j] - starts[i]), equal, a + int(starts[i])), key=lambda x: x[1])
+        i = j + 1
+    return longest, best[0], best[1], best[2]
+
+
+def _windows(rows: DataFrame, wanted: Shared | None = None) -> DataFrame:
+    """``k, seed, h``: the windows of each text under each mask, each once a text; only those that the filter may have, if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = Seeds()
+        bits = None if wanted is None else wanted.value
+        for batch in batches:
+            told = [words_of(t) for t in batch.column(1).to_pylist()]
+            length = np.array([len(w) for w in told], dtype=np.int64)
+            codes = seeds.codes([w for words in told for w in words])
+            doc = np.repeat(np.arange(len(told)), length)
+            if len(codes) < SPAN:
                 continue
-            left = np.searchsorted(keys, hashes, "left")
-            p = np.flatnonzero((left < len(keys)) & (keys[np.minimum(left, len(keys) - 1)] == hashes))
-            times = np.searchsorted(keys, hashes[p], "right") - left[p]
-            place = np.repeat(p, times)
-            entry = at[np.repeat(left[p], times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)]
-            rows.append(np.column_stack((doc_of[place + SEEDS[s].index("1")], entry[:, 0], place - entry[:, 1])))
-        return np.unique(np.concatenate(rows), axis=0)
-
-    def verify(self, codes: np.ndarray, k: int, diagonal: int, slack: float) -> tuple[int, int, int, int]:
-        """Longest equal run along a diagonal; best run that tolerates single substitutions: length and equal words; its place in the text."""
-        item = self.items[k][1]
-        a, b = max(0, diagonal), min(len(codes), diagonal + len(item))
-        same = (codes[a:b] == item[a - diagonal : b - diagonal]) & (codes[a:b] != 0)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
-        starts, ends = edge[::2], edge[1::2]
-        longest = int((ends - starts).max()) if len(starts) else 0
-        best = (0, 0, a)
-        i = 0
-        while i < len(starts):  # runs that are one word apart belong together
-            j, equal = i, int(ends[i] - starts[i])
-            while j + 1 < len(starts) and starts[j + 1] - ends[j] <= 1 and (equal + ends[j + 1] - starts[j + 1]) >= slack * (ends[j + 1] - starts[i]):
-                j += 1
-                equal += int(ends[j] - starts[j])
-            best = max(best, (int(ends[j] - starts[i]), equal, a + int(starts[i])), key=lambda x: x[1])
-            i = j + 1
-        return longest, best[0], best[1], best[2]
+            whole = doc[: len(codes) - SPAN + 1] == doc[SPAN - 1 :]  # windows that end in the text they begin in
+            for s, h in enumerate(seeds.hashes(codes)):
+                hit = whole
+                if bits is not None:
+                    at = h & np.uint64(len(bits) * 8 - 1)
+                    hit = whole & ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                p = np.flatnonzero(hit)
+                if len(p):
+                    found = np.unique(np.column_stack((doc[p].astype(np.uint64), h[p])), axis=0)
+                    k = batch.column(0).take(pa.array(found[:, 0].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([k, pa.array(np.full(len(found), s, np.int8)), pa.array(found[:, 1].view(np.int64))], names=["k", "seed", "h"])
+
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, seed tinyint, h bigint")
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """One bit for the hash of each window, in bytes: made in parts of 4 KB where the windows are, at most ``MOST_BITS`` in all."""
+    n = windows.count() * BITS_A_WINDOW
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n - 1).bit_length()))
+    at = windows.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("at"))
+    parts = at.groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most size / 32,768 rows
+        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
 
 
 def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, slack: float = 0.8) -> DataFrame:
     """``doc_id, item_id, longest_run, span_words, equal_words, word_pos``: test items of which a passage stands in a corpus text.
 
-    Windows of ``SPAN`` words are hashed under the ``SEEDS``, of which the first compares every word and the others ignore some
-    positions; corpus windows are looked up among the windows of the items, and around each hit the texts are compared word by word
-    along the hit's diagonal.  A pair comes out if an equal run has ``SPAN`` words (``longest_run``), or if a stretch of that many
-    words tolerating single substitutions has at least ``slack`` of them equal (``equal_words`` of ``span_words``).  ``word_pos`` is 1-based.
+    Windows of ``SPAN`` words are hashed under the ``SEEDS``, each of which ignores some positions; windows of corpus and items with the same
+    hash under the same mask give the pairs, which are then compared word by word along every diagonal that a mask finds.  A pair comes
+    out if an equal run has ``SPAN`` words (``longest_run``), or if a stretch of that many words tolerating single substitutions has at least
+    ``slack`` of them equal (``equal_words`` of ``span_words``).  ``word_pos`` is 1-based.  Keys may be of any type and keep it.
 
-    The items are the stated query set: they go to every task, in blocks of at most ``MAX_QUERY_WORDS`` words, each block being run
-    against the whole corpus.  The corpus is neither shuffled nor collected.  Null texts and ids are dropped, texts of fewer than ``SPAN``
-    words match nothing, equal items are reported one by one, repeated rows once, other columns are ignored.
+    No text goes to the driver.  A filter of at most ``MOST_BITS`` bits made of the items' hashes goes to every task, so of the corpus only windows
+    that an item may have are joined; there may be any number of items.  Texts of pairs alone are read again.  A hash that very many corpus
+    texts have is split by Spark's skew join.  Null texts and keys are dropped, texts and items of fewer than ``SPAN`` words match nothing,
+    equal items are reported one by one, repeated rows once, other columns are ignored, empty tables give no leaks.
     """
     spark = corpus.sparkSession
-    rows = items.select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    blocks, block, size = [], [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        w = words_of(r.t)
-        if size + len(w) > MAX_QUERY_WORDS and block:
-            blocks, block, size = [*blocks, block], [], 0
-        block.append((r.i, w))
-        size += len(w)
-    blocks.append(block)
-    docs = corpus.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    schema = "doc_id bigint, item_id bigint, longest_run int, span_words int, equal_words int, word_pos int"
-    out = None
-    for block in blocks:
-        index = Shared(spark, _Index(block))
-
-        def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            idx = index.value
-            number = idx.number
-            for batch in batches:
-                texts = [[number.get(w, 0) for w in words_of(t)] for t in batch["text"]]
-                docs, gap, begins = batch["doc_id"].to_numpy(), [0] * SPAN, []
-                strung: list[int] = []
-                for t in texts:
-                    begins.append(len(strung))
-                    strung += t
-                    strung += gap
-                codes = np.array(strung, dtype=np.uint64)
-                doc_of = np.repeat(np.arange(len(texts)), [len(t) + SPAN for t in texts])
-                best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-                for d, k, diagonal in idx.diagonals(codes, doc_of).tolist():
-                    a, b = begins[d], begins[d] + len(texts[d])
-                    v = idx.verify(codes[a:b], k, diagonal - a, slack)
+    scratch = Scratch(spark, "leaks")
+    docs, tests = _texts(corpus, key, text), _texts(items, item_key, item_text)
+    theirs = scratch.cut(_windows(tests).withColumnRenamed("k", "item_id"), "items")
+    ours = _windows(docs, Shared(spark, _filter(theirs))).withColumnRenamed("k", "doc_id")
+    joined = scratch.cut(ours, "hits").join(theirs, ["seed", "h"]).select("doc_id", "item_id").distinct()
+    pairs = scratch.cut(joined, "pairs")
+    near = F.broadcast(pairs) if fits(pairs) else pairs
+    both = docs.withColumnRenamed("k", "doc_id").join(near, "doc_id").join(tests.select(F.col("k").alias("item_id"), F.col("t").alias("item")).distinct(), "item_id")
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")]
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds, last, codes = Seeds(), None, np.zeros(0, np.uint64)
+        for batch in batches:
+            rows = []
+            for d, i, t, item in zip(batch["doc_id"], batch["item_id"], batch["t"], batch["item"], strict=True):
+                if t != last:
+                    last, codes = t, seeds.codes(words_of(t))
+                other = seeds.codes(words_of(item))
+                best = (0, 0, 0, 0)
+                for diagonal in seeds.diagonals(codes, other):
+                    v = verify(codes, other, diagonal, slack)
                     if v[0] >= SPAN or (v[1] >= SPAN and v[2] >= slack * v[1]):
-                        best[d, k] = max(best.get((d, k), v), v)
-                found = [(docs[d], idx.items[k][0], *v[:3], v[3] + 1) for (d, k), v in best.items()]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "longest_run", "span_words", "equal_words", "word_pos"])
+                        best = max(best, v)
+                if best[0]:
+                    rows.append((d, i, *best[:3], best[3] + 1))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "longest_run", "span_words", "equal_words", "word_pos"])
 
-        part = docs.mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return both.mapInPandas(check, f"doc_id {kinds[0]}, item_id {kinds[1]}, longest_run int, span_words int, equal_words int, word_pos int").distinct()
