@@ -8,14 +8,17 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.plans.lineage import Scratch
 from telar.plans.shared import Shared
 
-MAX_GRAMS = 200_000  # the model goes to every task: its commonest n-grams, counted over all clean records
-MAX_CHECKED = 20_000  # words on which the margin is validated
+ROWS, WIDTH = 3, 19  # of the count-min table of all n-grams of all clean records that goes to every task: rows of 2 ** WIDTH counts
+FINEST, FARTHEST = 100, 100  # gains are told apart to a hundredth, between -100 and 100
 _SPACE = r"[ \t\r\n\x0b\f]+"
 TOKEN = re.compile(r"[^ \t\r\n\x0b\f]+")
 LOST = "�"
@@ -120,19 +123,28 @@ def grams(token: str) -> Iterator[str]:
             yield s[i - 2 : i + 1]
 
 
+def buckets(gram: str) -> list[int]:
+    """Where the count of an n-gram stands in each row; under a context (``\\x01`` and the n-gram) everything that goes on from it is counted."""
+    h = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"))
+    return [(r << WIDTH) + (h >> (r * 21) & ((1 << WIDTH) - 1)) for r in range(ROWS)]
+
+
 class CharModel:
-    """Interpolated character trigrams of words with letters beyond ASCII."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.count = counts
-        self.total = max(1, sum(v for k, v in counts.items() if len(k) == 1))
-        self.context: Counter[str] = Counter()
-        for k, v in counts.items():
-            if len(k) > 1:
-                self.context[k[:-1]] += v
-        self.margin = 4.0
+    """Interpolated character trigrams of words with letters beyond ASCII, over a count-min table: of fixed size, a count at most too high."""
+
+    def __init__(self, counts: np.ndarray, total: int, margin: float = 4.0):
+        self.counts, self.total, self.margin = counts, max(1, total), margin
+        self._at: dict[str, int] = {}
         self._cache: dict[str, dict[int, tuple[float, str]]] = {}
 
+    def _count(self, gram: str) -> int:
+        n = self._at.get(gram)
+        if n is None:
+            n = min(int(self.counts[b]) for b in buckets(gram))
+            if len(self._at) < 500_000:
+                self._at[gram] = n
+        return n
+
     def score(self, token: str) -> float:
         """Log likelihood of a word, or of words joined by no-break spaces; a lost character costs as much as one in a thousand."""
         parts = token.split("\xa0")
@@ -144,11 +156,9 @@ class CharModel:
             if s[i] == LOST:
                 total += math.log(1e-3)
                 continue
-            one = (self.count.get(s[i], 0) + 0.01) / (self.total + 20)
-            ctx = self.context.get(s[i - 1], 0)
-            two = (self.count.get(s[i - 1 : i + 1], 0) + 4 * one) / (ctx + 4)
-            ctx = self.context.get(s[i - 2 : i], 0)
-            total += math.log((self.count.get(s[i - 2 : i + 1], 0) + 4 * two) / (ctx + 4))
+            one = (self._count(s[i]) + 0.01) / (self.total + 20)
+            two = (self._count(s[i - 1 : i + 1]) + 4 * one) / (self._count("\x01" + s[i - 1]) + 4)
+            total += math.log((self._count(s[i - 2 : i + 1]) + 4 * two) / (self._count("\x01" + s[i - 2 : i]) + 4))
         return total
 
     def gains(self, token: str) -> dict[int, tuple[float, str]]:
@@ -168,25 +178,6 @@ class CharModel:
         gain, back = max(self.gains(token).values(), default=(float("-inf"), token))
         return back, gain
 
-    def validate(self, words: list[tuple[str, int]]) -> None:
-        """Set the margin: above every gain by which a clean word would be changed, yet below most gains of the same words once garbled."""
-        known = dict(words)
-        clean, garbled = [], []
-        for w, n in words:
-            back, gain = self.best(w)
-            if known.get(back, 0) < 20 * n:
-                clean.append(gain)
-            for chain in CHAINS[:5]:
-                wrong = _to_bytes(w, "utf-8")
-                bad = _to_text(wrong, chain[0][0]) if wrong else None
-                if bad and bad != w:
-                    garbled.append(self.best(bad)[1])
-        if clean and garbled:
-            garbled.sort()
-            low = garbled[len(garbled) // 100]
-            top = max(clean)
-            self.margin = min(max(2.0, top + 0.5), max(4.0, (max(top, 0.0) + low) / 2 if low > top else 6.0))
-
     def repair(self, text: str) -> tuple[str, int, int]:
         """A text as it was, the number of its garbled words, and of those that lost something.
 
@@ -216,31 +207,76 @@ class CharModel:
         return "".join(parts) + text[at:], bad, lost
 
 
+def _margin(words: DataFrame, counts: np.ndarray, total: int) -> float:
+    """The margin: above every gain by which a clean word would be changed, yet below most gains of the same words once garbled.
+
+    Over all clean words with characters beyond ASCII.  A word whose origin is at least twenty times as frequent as the word itself, or is seen as often and
+    the word only once, is taken for a garbled one and says nothing.
+    """
+    model = Shared(words.sparkSession, CharModel(counts, total))
+    told = "w string, n bigint, back string, kind int, gain int"
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = model.value
+        place = lambda gain: round(max(-FARTHEST, min(FARTHEST, gain)) * FINEST)
+        for batch in batches:
+            rows = []
+            for w, n in zip(batch["w"], batch["n"], strict=True):
+                if not looks_clean(w):
+                    continue
+                back, gain = m.best(w)
+                if gain > -FARTHEST:
+                    rows.append((w, n, back, 0, place(gain)))
+                wrong = _to_bytes(w, "utf-8")
+                for chain in CHAINS[:5]:
+                    bad = _to_text(wrong, chain[0][0]) if wrong else None
+                    if bad and bad != w:
+                        rows.append((None, 0, None, 1, place(m.best(bad)[1])))
+            yield pd.DataFrame(rows, columns=["w", "n", "back", "kind", "gain"])
+
+    seen = words.mapInPandas(gains, told)
+    known = words.select(F.col("w").alias("back"), F.col("n").alias("n_back"))
+    clean = seen.where("kind = 0").join(known, "back", "left").withColumn("n_back", F.coalesce("n_back", F.lit(0)))
+    clean = clean.where((F.col("n_back") < 20 * F.col("n")) & ~((F.col("n") == 1) & (F.col("n_back") >= 1)))
+    top = clean.agg(F.max("gain")).first()[0]
+    places = sorted((r.gain, r.n) for r in seen.where("kind = 1").groupBy("gain").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 2 * FARTHEST * FINEST + 1 rows
+    if top is None or not places:
+        return 4.0
+    upto, low = sum(n for _, n in places) // 100, 0.0
+    for place, n in places:
+        low, upto = place / FINEST, upto - n
+        if upto < 0:
+            break
+    top = top / FINEST
+    return min(max(2.0, top + 0.5), max(4.0, (max(top, 0.0) + low) / 2 if low > top else 6.0))
+
+
 def train(values: DataFrame) -> CharModel:
-    """A model of the words with letters beyond ASCII in column ``value``: counted over all rows, the n-grams summed before they come together."""
+    """A model of the words with letters beyond ASCII in column ``value``: counted over all rows, words written once, n-grams summed before they come together."""
     words = (
         values.where("value is not null").select(F.explode(F.split("value", _SPACE)).alias("w"))
-        .where(F.col("w").rlike(r"[^\x00-\x7f]") & (F.length("w") <= 40)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("w").rlike(r"[^\x00-\x7f]")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     )
+    words = Scratch(values.sparkSession, "garbled").cut(words, "words")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: Counter[str] = Counter()
+        sums: Counter[int] = Counter()  # no more keys than the table has counts
         for batch in batches:
             for w, n in zip(batch["w"], batch["n"], strict=True):
                 if looks_clean(w):
                     for g in grams(w):
-                        sums[g] += n
-            if len(sums) > 500_000:
-                yield pd.DataFrame({"g": list(sums), "n": list(sums.values())})
-                sums.clear()
+                        for b in [*buckets(g), *(buckets("\x01" + g[:-1]) if len(g) > 1 else [-1])]:
+                            sums[b] += n
         if sums:
-            yield pd.DataFrame({"g": list(sums), "n": list(sums.values())})
-
-    counted = words.mapInPandas(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-    model = CharModel({r.g: r.n for r in counted.orderBy(F.desc("n"), "g").limit(MAX_GRAMS).collect()})
-    checked = [(r.w, r.n) for r in words.where("n > 1").orderBy(F.desc("n"), "w").limit(4 * MAX_CHECKED).collect()]
-    model.validate([(w, n) for w, n in checked if looks_clean(w)][:MAX_CHECKED])
-    return model
+            yield pd.DataFrame({"b": list(sums), "n": list(sums.values())})
+
+    counts, total = np.zeros(ROWS << WIDTH, np.int64), 0
+    for r in words.mapInPandas(count, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toLocalIterator():  # no more rows than the table has counts
+        if r.b < 0:
+            total = r.n
+        else:
+            counts[r.b] = r.n
+    return CharModel(counts, total, _margin(words, counts, total))
 
 
 def _fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from telar.llm import pii
 from telar.llm.contamination import find_leaks, words_of
 from telar.llm.languages import language_of
 from telar.llm.mixing import Mixture, flight, plan_sources
-from telar.llm.mojibake import CHAINS, find_garbled, undo
+from telar.llm.mojibake import CHAINS, buckets, find_garbled, train, undo
 from telar.llm.near_duplicates import NearDuplicates, word_pairs
 from telar.llm.peg import Grammar, alt, many, ref, seq, term
 from telar.llm.qa_defects import QaDefects, defect_of
@@ -157,6 +157,13 @@ def test_garbled(spark):
     assert find_garbled(spark.createDataFrame([], "id string, text string, title string"), "id", ["text", "title"]).count() == 0
 
 
+def test_model_of_every_word(spark):
+    long = "ñandú-" * 20 + "fin"  # no word is too long, no n-gram too rare
+    model = train(spark.createDataFrame([(f"{long} única{chr(233 + i % 5)}{i}",) for i in range(30)] + [(None,)], "value string"))
+    assert model.total >= 30 * len(long) and min(int(model.counts[b]) for b in buckets("ñan")) >= 600
+    assert 2.0 <= model.margin <= 6.0 and model.score("ñandú") > model.score("Ã±andÃº")
+
+
 def test_chains():
     for chain in CHAINS[:5]:
         word = "canción"
