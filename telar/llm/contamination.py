@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -70,15 +71,27 @@ class Seeds:
                 out.append(h * np.uint64(0x9E3779B97F4A7C15))
         return out
 
-    def diagonals(self, codes: np.ndarray, item: np.ndarray) -> set[int]:
-        """By how much the places of windows that some mask finds equal differ."""
-        out: set[int] = set()
-        for a, b in zip(self.hashes(codes), self.hashes(item), strict=True):
-            order = np.argsort(b, kind="stable")
-            left, right = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-            for p in np.flatnonzero(right > left):
-                out.update((p - order[left[p] : right[p]]).tolist())
-        return out
+    def sorted(self, text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The words of an item, and of each mask the hashes of its windows in order and where they begin."""
+        codes = self.codes(words_of(text))
+        orders = [(h, np.argsort(h, kind="stable")) for h in self.hashes(codes)]
+        return codes, [(h[at], at) for h, at in orders]
+
+
+def diagonals(text: list[np.ndarray], item: list[tuple[np.ndarray, np.ndarray]]) -> set[int]:
+    """By how much the places of windows differ that some mask finds equal."""
+    out: set[int] = set()
+    for a, (keys, at) in zip(text, item, strict=True):
+        if not len(keys):
+            continue
+        left = np.searchsorted(keys, a, "left")
+        p = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == a)
+        if len(p):
+            left, times = left[p], np.searchsorted(keys, a[p], "right") - left[p]
+            place = np.repeat(p, times)
+            entry = at[np.repeat(left, times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)]
+            out.update((place - entry).tolist())
+    return out
 
 
 def verify(codes: np.ndarray, item: np.ndarray, diagonal: int, slack: float) -> tuple[int, int, int, int]:
@@ -169,15 +182,17 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     kinds = [pairs.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, last, codes = Seeds(), None, np.zeros(0, np.uint64)
+        seeds, last, codes, windows = Seeds(), None, np.zeros(0, np.uint64), []
+        item_of = lru_cache(maxsize=4096)(seeds.sorted)
         for batch in batches:
             rows = []
             for d, i, t, item in zip(batch["doc_id"], batch["item_id"], batch["t"], batch["item"], strict=True):
                 if t != last:
                     last, codes = t, seeds.codes(words_of(t))
-                other = seeds.codes(words_of(item))
+                    windows = seeds.hashes(codes)
+                other, keys = item_of(item)
                 best = (0, 0, 0, 0)
-                for diagonal in seeds.diagonals(codes, other):
+                for diagonal in diagonals(windows, keys):
                     v = verify(codes, other, diagonal, slack)
                     if v[0] >= SPAN or (v[1] >= SPAN and v[2] >= slack * v[1]):
                         best = max(best, v)
