@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,7 +46,7 @@ PLACE_BEFORE = re.compile(r"(?<!\w)(?:barrancos?|valle|playa|monta[nñ]a|punta|c
 
 _GAP = r"[^\S\n]*\n?[^\S\n]*"
 SIGN = re.compile(r"[^\S\n]*[\[({]\s*(?:at|arroba)\s*[\])}][^\S\n]*|[^\S\n]+(?:@|arroba)[^\S\n]+|@", re.I)
-LOCAL = re.compile(r"(?<![\w.+%@-])\w[\w.+%-]*\Z")
+LOCAL = re.compile(r"\w[\w.+%-]*\Z")
 DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?(?:\.|[^\S\n]*[\[({]\s*(?:dot|punto)\s*[\])}][^\S\n]*|[^\S\n]+punto[^\S\n]+))+[^\W\d_]{2,}", re.I)
 PHONE = re.compile(r"(?<![\w.+/-])(?<!\d )(\(?(?:\+34|0034)\)?[ .\xa0/-]{0,2})?(\(?[6-9]\d{2}\)?)((?:[ .\xa0/-]?\d){6})(?![\w])(?![.\xa0/-]?\d)(?! \d)")
 FOREIGN_PHONE = re.compile(r"(?<![\w.+/-])(?:\+|00)(?!34)[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){6,11}(?![\w])(?![.-]?\d)")
@@ -69,9 +70,14 @@ _CAPITAL = r"[^\W\d_a-zà-öø-ÿ][\w'’·-]*\.?"
 _SEP = r"(?:[^\S\n]+(?:\n[^\S\n]*)?|\n[^\S\n]*)"
 _END = rf"(?:{_SEP}|,{_GAP})((?i:{_NUMBER})|\d{{1,4}}(?![\w]|[.,]\d)(?:-\d{{1,2}}º?)?)"
 _PART = rf"(?:{_PARTICLE}(?!\w)|\d{{1,2}}(?=\s+de\s)|{_CAPITAL})"
-ADDRESS = re.compile(rf"({_KIND}){_GAP}({_PART}(?:{_SEP}{_PART}){{0,7}}?){_END}")
-LOOSE_ADDRESS = re.compile(rf"({_KIND}){_GAP}([^\W\d_][\w'’·-]*(?:{_SEP}[^\W\d_][\w'’·-]*){{0,5}}?)(?:{_SEP}|,{_GAP})((?i:{_NUMBER}))")
-NUMBER_NEAR = re.compile(r"\d|s/n", re.I)
+# Words that go on with the sentence and stand in no name of a street written small.
+_SENTENCE = "que|qué|cuando|donde|como|porque|pero|ni|se|no|ya|hay|había|es|era|fue|fueron|son|eran|está|estaba|vive|vivía|tiene|tenía|con|por|para|sin|hasta|desde|sobre|entre|su|sus|mi|mis|me|te|le|les|nos|lo|un|una|unos|unas|the|of|and"
+_LOOSE = rf"(?!(?i:{_SENTENCE})(?![\w'’·-]))[^\W\d_][\w'’·-]*"
+ADDRESS = re.compile(rf"({_KIND}){_GAP}({_PART}(?:{_SEP}{_PART})*?){_END}")
+LOOSE_ADDRESS = re.compile(rf"({_KIND}){_GAP}({_LOOSE}(?:{_SEP}{_LOOSE})*?)(?:{_SEP}|,{_GAP})((?i:{_NUMBER}))")
+#: As far as a name of a street may go: where one begins in vain, none that begins within its words ends in a number either.
+_RUNS = (re.compile(rf"(?:{_KIND}){_GAP}{_PART}(?:{_SEP}{_PART})*"), re.compile(rf"(?:{_KIND}){_GAP}{_LOOSE}(?:{_SEP}{_LOOSE})*"))
+NUMBER = re.compile(r"\d|s/n", re.I)
 
 PHONE_YES = re.compile(r"tel[eé]f|tfno|tlf|\btel\b|m[oó]vil|llam|n[uú]mero es|contacto|whats|fax|centralita", re.I)
 PHONE_NO = re.compile(r"isbn|issn|n\.\s?º|catalog|censo|cost[oó]|expediente|signatura|ref\.|registro|factura|maraved|pesetas|cabezas|habitantes|euros|€|lote|c[oó]digo", re.I)
@@ -152,7 +158,7 @@ class Recogniser:
                 self._class[token] = k
         return k
 
-    def _names(self, text: str, toks: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    def _names(self, text: str, toks: list[tuple[int, int]], free: Callable[[int, int], bool]) -> list[tuple[str, int, int]]:
         kinds = [self.kind(text[a:b]) for a, b in toks]
         marks = [i for i, k in enumerate(kinds) if "s" in k or "l" in k]
         if not marks:
@@ -232,7 +238,7 @@ class Recogniser:
                 if stop < n and near(stop - 1) and surname(stop):
                     continue  # the given name belongs to the surname behind it
                 start, end, done_at = toks[i][0], toks[stop - 1][1], stop - 1
-            if any(a < end and start < b for a, b in taken):
+            if not free(start, end):
                 continue
             left = text[max(0, start - 40) : start]
             if FIRM_AFTER.match(text[end : end + 20]) or FIRM_BEFORE.search(left) or SAINT_BEFORE.search(left) or PLACE_BEFORE.search(left):
@@ -245,20 +251,30 @@ class Recogniser:
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """Type, start and end of every piece of personal information, in order."""
         out: list[tuple[str, int, int]] = []
-        for m in SIGN.finditer(text):
-            local, domain = LOCAL.search(text[max(0, m.start() - 80) : m.start()]), DOMAIN.match(text, m.end())
-            if local and domain:
-                out.append(("email", m.start() - (local.end() - local.start()), domain.end()))
-        taken = [(a, b) for _, a, b in out]
-        toks = [m.span() for m in (TOKEN if text.isascii() or not MARK.search(text) else MARKED_TOKEN).finditer(text)]
+        starts: list[int] = []  # of the spans found so far, in order, none of which meets another
+        ends: list[int] = []
 
         def free(a: int, b: int) -> bool:
-            return all(b <= x or y <= a for x, y in taken)
+            k = bisect_left(starts, b)
+            return k == 0 or ends[k - 1] <= a
 
         def add(kind: str, a: int, b: int) -> None:
             if free(a, b):
                 out.append((kind, a, b))
-                taken.append((a, b))
+                k = bisect_left(starts, a)
+                starts.insert(k, a)
+                ends.insert(k, b)
+
+        for m in SIGN.finditer(text):
+            a = m.start()
+            while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
+                a -= 1
+            if a == m.start() or (a and text[a - 1] == "@") or not LOCAL.match(text, a, m.start()):
+                continue
+            domain = DOMAIN.match(text, m.end())
+            if domain:
+                add("email", a, domain.end())
+        toks = [m.span() for m in (TOKEN if text.isascii() or not MARK.search(text) else MARKED_TOKEN).finditer(text)]
 
         numbers = DIGIT.search(text) is not None
         if numbers:
@@ -288,21 +304,31 @@ class Recogniser:
                 if m[0][0] == "+" or PHONE_YES.search(text[max(0, m.start() - 30) : m.start()]):
                     add("phone", m.start(), m.end())
         if numbers or "s/n" in text.lower():
+            last = -1
+            for m in NUMBER.finditer(text):
+                last = m.start()
+            vain, done = [0, 0], 0
             for x, y in toks:
                 word = text[x:y]
-                if y - x > 12 or (x and (text[x - 1].isalnum() or text[x - 1] == "/")) or word.lower() not in self.kinds:
+                if x < done or y - x > 12 or (x and (text[x - 1].isalnum() or text[x - 1] == "/")) or word.lower() not in self.kinds:
                     continue
                 if word.lower() in _MUST and text[y : y + 1] not in ("/", "."):
                     continue
-                if not NUMBER_NEAR.search(text, y, y + 100):
-                    continue
-                m = ADDRESS.match(text, x) or LOOSE_ADDRESS.match(text, x)
+                if y > last:
+                    break
+                m = None
+                for k, pattern in enumerate((ADDRESS, LOOSE_ADDRESS)):
+                    m = m or (pattern.match(text, x) if x >= vain[k] else None)
+                    if m is None and x >= vain[k]:
+                        run = _RUNS[k].match(text, x)
+                        vain[k] = run.end() if run else 0
                 if m is None:
                     continue
                 year = re.fullmatch(r"1[4-9]\d\d|20\d\d", m[3]) and m[1] in ("camino", "vereda", "cuesta", "plaza", "carretera")
                 if not year and re.search(r"[^\W\d_]{2}", m[2]) and not re.fullmatch(rf"(?:{_PARTICLE}\s*)+", m[2].strip()):
                     add("address", m.start(), m.end())
-        out += self._names(text, toks, taken)
+                    done = m.end()
+        out += self._names(text, toks, free)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
@@ -318,7 +344,7 @@ def _recogniser(lexicon: DataFrame):
 
 
 def find_pii(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """``doc_id, pii_type, start_pos, end_pos, value``: every occurrence; positions count code points from 1.
+    """``doc_id, pii_type, start_pos, end_pos, value``: every occurrence; positions count code points from 1.  Keys may be of any type and keep it.
 
     Null texts and ids are dropped, empty texts have no occurrence, repeated rows count once, other columns are ignored.  The lexicon goes
     to every task and may have at most ``MAX_LEXICON`` rows; an empty one leaves the names of the fixed lists.  Types beside those of the
@@ -332,8 +358,8 @@ def find_pii(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFram
             rows = [(d, k, a + 1, b, t[a:b]) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for k, a, b in find(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_pos", "end_pos", "value"])
 
-    rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text != ''")
-    return rows.mapInPandas(scan, "doc_id bigint, pii_type string, start_pos bigint, end_pos bigint, value string").distinct()
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text != ''")
+    return rows.mapInPandas(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pii_type string, start_pos bigint, end_pos bigint, value string").distinct()
 
 
 def mask_pii(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -354,5 +380,5 @@ def mask_pii(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFram
                 counts.append(len(found))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts, "n_masked": counts})
 
-    rows = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(scan, "doc_id bigint, text string, n_masked int")
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInPandas(scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, n_masked int")

@@ -336,6 +336,24 @@ def test_pii(text, want):
     assert found == want
 
 
+def test_pii_of_any_length():
+    find = pii.Recogniser([("Ana", "given"), ("Zurbarán", "surname")]).find
+    name = "Nuestra Señora de los Remedios y de la Santa Cruz de los Montes Altos de la Muy Noble Ciudad de San Cristóbal de la Laguna"
+    local = "a" * 300
+    got = find(f"Escriba a {local}@correo.example o venga a la Calle {name}, 25.")
+    assert [(k, b - a) for k, a, b in got] == [("email", 300 + len("@correo.example")), ("address", len(f"Calle {name}, 25"))]
+    assert [k for k, *_ in find("vive en la calle de los hijos del viejo molino alto del barranco seco nº 7")] == ["address"]
+    for filler in ("calle ", "Calle Mayor ", "a@b ", "600 12 ", "12345678A 600123123 "):  # no search starts over and over
+        find(filler * 20000 + " 5")
+
+
+def test_pii_keys(spark):
+    lexicon = spark.createDataFrame([("Ana", "given")], "token string, kind string")
+    df = spark.createDataFrame([("r:1", "llame al 612 345 678", 1), ("r:2", None, 2)], "id string, text string, doc_id int")
+    assert [(r.doc_id, r.pii_type) for r in pii.find_pii(df, "id", "text", lexicon).collect()] == [("r:1", "phone")]
+    assert {r.doc_id: r.text for r in pii.mask_pii(df, "id", "text", lexicon).collect()} == {"r:1": "llame al [PHONE]", "r:2": None}
+
+
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.mod97("GB82 WEST 1234 5698 7654 32") and pii.id_letter(12345678) == "Z"
 
