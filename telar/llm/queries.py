@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from telar.llm.boilerplate import Boilerplate
@@ -15,7 +15,7 @@ from telar.llm.near_duplicates import NearDuplicates
 from telar.llm.pii import find_pii, mask_pii
 from telar.llm.qa_defects import QaDefects
 from telar.llm.split_text import split_oversized
-from telar.llm.splits import FIELDS, LinkedSplits
+from telar.llm.splits import FIELDS, LARGE_FIRST, LinkedSplits
 from telar.llm.transcripts import speaker_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,25 @@ def _linked(spark: SparkSession, folder: str) -> LinkedSplits:
     return LinkedSplits(_table(spark, folder, "message_examples"), "example_id", {k: F.col(f"metadata.{k}") for k in FIELDS})
 
 
+MAX_ROWS = 1000  # of a table of settings
+
+
+def _settings(spark: SparkSession, folder: str, name: str, key: str) -> dict[str, Row]:
+    """The rows of a small table by key; an error if it has too many, or two that differ under one key."""
+    rows = _table(spark, folder, name).where(f"{key} is not null").distinct().limit(MAX_ROWS + 1).collect()
+    out = {r[key]: r for r in rows}
+    if len(rows) > MAX_ROWS or len(out) < len(rows):
+        raise ValueError(f"{name} has more than {MAX_ROWS} rows or several of one {key}")
+    return out
+
+
 def _targets(spark: SparkSession, folder: str) -> dict[str, float]:
-    return {r.split: r.share for r in _table(spark, folder, "split_targets").where("split is not null and share is not null").limit(1000).collect()}
+    return {k: r.share for k, r in _settings(spark, folder, "split_targets", "split").items() if r.share is not None}
+
+
+def _splits(spark: SparkSession, folder: str) -> DataFrame:
+    """As near to the targets as the groups allow: the largest groups are placed first."""
+    return _linked(spark, folder).assign(_targets(spark, folder), large_first=LARGE_FIRST)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,14 +67,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
-    return _linked(spark, folder).assign(_targets(spark, folder))
+    return _splits(spark, folder)
 
 
 def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
-    counts = _linked(spark, folder).assign(_targets(spark, folder)).groupBy("split").agg(F.count(F.lit(1)).alias("n_examples"))
-    total = counts.agg(F.sum("n_examples").alias("n_all"))  # one row
-    targets = _table(spark, folder, "split_targets").select("split", "share")
-    return targets.join(counts, "split", "left").join(F.broadcast(total)).select("split", "share", F.coalesce("n_examples", F.lit(0)).alias("n_examples"), F.round(F.coalesce("n_examples", F.lit(0)) / F.col("n_all"), 6).alias("actual"))
+    """The shares reached, with the largest groups placed first (``actual``) and by ranges of the hash alone (``by_hash``)."""
+    linked, targets = _linked(spark, folder), _targets(spark, folder)
+    out = _table(spark, folder, "split_targets").select("split", "share").where("split is not null and share is not null").distinct()
+    for name, first in (("actual", LARGE_FIRST), ("by_hash", 0)):
+        counts = linked.assign(targets, large_first=first).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+        total = counts.agg(F.sum("n").alias("n_all"))  # one row
+        n = F.coalesce("n", F.lit(0))
+        out = out.join(F.broadcast(counts), "split", "left").join(F.broadcast(total)).withColumn(name, F.round(n / F.col("n_all"), 6)).withColumn(f"n_{name}", n).drop("n", "n_all")
+    return out.select("split", "share", F.col("n_actual").alias("n_examples"), "actual", "by_hash")
 
 
 def _near(spark: SparkSession, folder: str) -> NearDuplicates:
@@ -83,7 +105,7 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    limits = {r.tbl: r for r in _table(spark, folder, "size_limits").where("tbl in ('chunks', 'text_records')").limit(2).collect()}
+    limits = _settings(spark, folder, "size_limits", "tbl")
     parts = [
         split_oversized(_table(spark, folder, t), key, "text", limits[t].max_chars, limits[t].overlap_chars).withColumn("tbl", F.lit(t))
         for t, key in (("chunks", "chunk_id"), ("text_records", "id")) if t in limits

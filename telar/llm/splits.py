@@ -22,8 +22,8 @@ autoranonimo
 """.split()
 
 FIELDS = ("code", "author", "entity")
-BIG_PART = 1024
-BINS = 1 << 16
+BINS = 1 << 16  # ranges of the hash that are told apart
+LARGE_FIRST = 1000  # components that may be placed before the others, where that is asked for
 
 
 def link_value(col: Column) -> Column:
@@ -40,10 +40,10 @@ class LinkedSplits:
     alternating large-star and small-star rounds over edges from each record to the smallest record of each of its values, so a value
     that a third of all records share gives a star and never a group in one task.
 
-    The split of a component follows from the place of its identifier's hash in ranges proportional to the targets.  Components with more
-    than one part in ``BIG_PART`` of all records, fewer than ``BIG_PART`` in number, go first, each to the split that lacks most;
-    the ends of the ranges for the others are then set from a histogram of sizes over ``BINS`` ranges of the hash, so the splits come as
-    near to their targets as the components allow.
+    The split of a component follows from the place of its identifier's hash in ranges proportional to the targets: the ranges end where a
+    histogram of sizes over ``BINS`` parts of the hash comes nearest to the targets, whatever the sizes of the components.  Where few large
+    components make the ranges miss their targets, ``large_first`` places that many of the largest before the others, each to the split that
+    then lacks most.
 
     Null, blank and "unknown" values connect nothing; records without any value are components of one; rows without an id are
     dropped; a repeated id counts once, with the values of all its rows; an empty table gives empty results.
@@ -67,37 +67,45 @@ class LinkedSplits:
         """``example_id, group_id``: the records that are connected with another."""
         return self.components.select(F.col("id").alias("example_id"), "group_id")
 
-    def assign(self, targets: dict[str, float], seed: int = 7) -> DataFrame:
-        """``example_id, group_id, split`` for every record."""
+    def assign(self, targets: dict[str, float], seed: int = 7, large_first: int = 0) -> DataFrame:
+        """``example_id, group_id, split`` for every record; with ``large_first`` up to ``LARGE_FIRST`` components are placed by size."""
         if not targets or min(targets.values()) < 0 or sum(targets.values()) <= 0:
             raise ValueError("targets must be shares of which one is above 0")
+        if not 0 <= large_first <= LARGE_FIRST:
+            raise ValueError(f"large_first must be between 0 and {LARGE_FIRST}")
         whole = sum(targets.values())
         shares = {k: v / whole for k, v in sorted(targets.items(), key=lambda x: (-x[1], x[0]))}
         member = self.scratch.cut(self.ids.distinct().join(self.components, "id", "left").withColumn("group_id", F.coalesce("group_id", "id")), "members")
         sizes = self.scratch.cut(member.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(BINS))), "sizes")
         n = sizes.agg(F.sum("n")).first()[0] or 0
-        floor = max(1.0, n / BIG_PART)
         need = {k: s * n for k, s in shares.items()}
         big: dict[str, str] = {}
-        for row in sorted(sizes.where(F.col("n") > floor).collect(), key=lambda r: (-r.n, r.group_id)):  # fewer than BIG_PART rows
+        for row in sizes.orderBy(F.desc("n"), "group_id").limit(large_first).collect() if large_first else ():
             big[row.group_id] = max(need, key=lambda k: need[k])
             need[big[row.group_id]] -= row.n
-        bins = {r.bin: r.n for r in sizes.where(F.col("n") <= floor).groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # at most BINS rows
-        ends, filled, at = [], 0, 0
-        names = [k for k in need if need[k] > 0] or list(need)[:1]
-        upto = [sum(max(0.0, need[k]) for k in names[: i + 1]) for i in range(len(names))]
-        for b in sorted(bins):
-            while at < len(names) - 1 and filled + bins[b] / 2 > upto[at]:
-                ends.append((b, names[at]))
-                at += 1
-            filled += bins[b]
-        rule = F.lit(names[-1]) if at == len(names) - 1 else F.lit(names[at])
-        for b, name in reversed(ends):
-            rule = F.when(F.col("bin") < b, F.lit(name)).otherwise(rule)
-        spark = member.sparkSession
-        chosen = spark.createDataFrame(list(big.items()) or [("", "")], "group_id string, fixed string").where("fixed != ''")
-        split = sizes.where(F.col("n") <= floor).select("group_id", rule.alias("split"), F.lit(1).cast("bigint").alias("n"))
-        placed = member.join(F.broadcast(chosen), "group_id", "left")
-        small = placed.where("fixed is null").select("id", "group_id").join(split.drop("n"), "group_id")  # components of at most `floor` records each
-        out = small.unionByName(placed.where("fixed is not null").select("id", "group_id", F.col("fixed").alias("split")))
-        return out.select(F.col("id").alias("example_id"), "group_id", "split")
+        chosen = member.sparkSession.createDataFrame(list(big.items()), "group_id string, fixed string")
+        rest = sizes.join(F.broadcast(chosen), "group_id", "left_anti") if big else sizes
+        bins = {r.bin: r.n for r in rest.groupBy("bin").agg(F.sum("n").alias("n")).collect()}  # at most BINS rows
+        rule = _ranges(bins, need)
+        split = rest.select("group_id", rule.alias("split"), "n")
+        if big:
+            split = split.unionByName(sizes.join(F.broadcast(chosen), "group_id").select("group_id", F.col("fixed").alias("split"), "n"))
+        split = self.scratch.cut(split, "split")
+        return join_counted(member, split, ["group_id"], "n", n).select(F.col("id").alias("example_id"), "group_id", "split")
+
+
+def _ranges(bins: dict[int, int], need: dict[str, float]) -> Column:
+    """The split of each part of the hash: ranges of parts in order, the larger targets first, each ending where its records come nearest."""
+    names = [k for k in need if need[k] > 0] or list(need)[:1]
+    upto = [sum(need[k] for k in names[: i + 1]) for i in range(len(names))]
+    scale = sum(bins.values()) / upto[-1] if upto[-1] > 0 else 0.0
+    ends, filled, at = [], 0, 0
+    for b in sorted(bins):
+        while at < len(names) - 1 and filled + bins[b] / 2 > upto[at] * scale:
+            ends.append((b, names[at]))
+            at += 1
+        filled += bins[b]
+    rule = F.lit(names[at])
+    for b, name in reversed(ends):
+        rule = F.when(F.col("bin") < b, F.lit(name)).otherwise(rule)
+    return rule

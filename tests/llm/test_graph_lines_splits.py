@@ -119,11 +119,12 @@ def test_splits(spark):
     want = brute_components([(a, b) for a, b in edges if a != b])
     s = linked(df)
     assert {r.example_id: r.group_id for r in s.groups().collect()} == want and want["p2"] == "p1" and "p3" not in want
-    out = s.assign(TARGETS).collect()
-    assert len(out) == 203
-    split = {r.example_id: r.split for r in out}
-    for a, b in edges:
-        assert split[a] == split[b]
+    for large_first in (0, 20):
+        out = s.assign(TARGETS, large_first=large_first).collect()
+        assert len(out) == 203
+        split = {r.example_id: r.split for r in out}
+        for a, b in edges:
+            assert split[a] == split[b]
     sizes = defaultdict(int)
     for r in out:
         sizes[r.split] += 1
@@ -134,8 +135,10 @@ def test_splits_hot_and_empty(spark):
     rows = [(f"e{i:04d}", {"code": "hot" if i % 3 == 0 else None, "author": f"a{i}", "entity": None}, "a", "b", None) for i in range(900)]
     s = linked(spark.createDataFrame(rows, SPLITS))
     assert s.groups().count() == 300
-    sizes = {r.split: r["count"] for r in s.assign(TARGETS).groupBy("split").count().collect()}
+    sizes = {r.split: r["count"] for r in s.assign(TARGETS, large_first=1).groupBy("split").count().collect()}
     assert sizes == {"train": 810, "validation": 54, "test": 36}
+    once = {r.group_id: r.split for r in s.assign(TARGETS).collect()}
+    assert len(once) == 601 and set(once.values()) <= set(TARGETS)  # the rule is the hash alone, whatever the sizes
     empty = linked(spark.createDataFrame([], SPLITS))
     assert empty.groups().count() == 0 and empty.assign(TARGETS).count() == 0
     with pytest.raises(ValueError):
