@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.plans.filters import bit_filter
 from telar.plans.lineage import Scratch
 from telar.plans.shared import Shared
 from telar.plans.skew import fits
@@ -22,7 +23,6 @@ SPAN = 12
 #: Spaced seeds over a window of SPAN words: 1 is compared, 0 may differ.  A window of equal words is met by each of them; any given position
 #: is ignored by one, so a window with one substituted word is found for certain.
 SEEDS = ("111011101110", "110111011101", "101110111011", "011101110111")
-LEAST_BITS, MOST_BITS, BITS_A_WINDOW = 1 << 18, 1 << 28, 32  # of the filter; beyond MOST_BITS it only lets more windows pass
 KNOWN = 1_000_000  # words whose hash a task keeps
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
@@ -141,18 +141,6 @@ def _windows(rows: DataFrame, wanted: Shared | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, seed tinyint, h bigint")
 
 
-def _filter(windows: DataFrame) -> np.ndarray:
-    """One bit for the hash of each window, in bytes: made in parts of 4 KB where the windows are, at most ``MOST_BITS`` in all."""
-    n = windows.count() * BITS_A_WINDOW
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n - 1).bit_length()))
-    at = windows.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("at"))
-    parts = at.groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
-    out = np.zeros(size // 8, np.uint8)
-    for r in parts.toLocalIterator():  # at most size / 32,768 rows
-        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
 
@@ -165,7 +153,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     out if an equal run has ``SPAN`` words (``longest_run``), or if a stretch of that many words tolerating single substitutions has at least
     ``slack`` of them equal (``equal_words`` of ``span_words``).  ``word_pos`` is 1-based.  Keys may be of any type and keep it.
 
-    No text goes to the driver.  A filter of at most ``MOST_BITS`` bits made of the items' hashes goes to every task, so of the corpus only windows
+    No text goes to the driver.  A filter of bounded size made of the items' hashes goes to every task, so of the corpus only windows
     that an item may have are joined; there may be any number of items.  Texts of pairs alone are read again.  A hash that very many corpus
     texts have is split by Spark's skew join.  Null texts and keys are dropped, texts and items of fewer than ``SPAN`` words match nothing,
     equal items are reported one by one, repeated rows once, other columns are ignored, empty tables give no leaks.
@@ -174,7 +162,7 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     scratch = Scratch(spark, "leaks")
     docs, tests = _texts(corpus, key, text), _texts(items, item_key, item_text)
     theirs = scratch.cut(_windows(tests).withColumnRenamed("k", "item_id"), "items")
-    ours = _windows(docs, Shared(spark, _filter(theirs))).withColumnRenamed("k", "doc_id")
+    ours = _windows(docs, Shared(spark, bit_filter(theirs, "h"))).withColumnRenamed("k", "doc_id")
     joined = scratch.cut(ours, "hits").join(theirs, ["seed", "h"]).select("doc_id", "item_id").distinct()
     pairs = scratch.cut(joined, "pairs")
     near = F.broadcast(pairs) if fits(pairs) else pairs
