@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -49,13 +50,21 @@ def over_strings(fn: Callable[[str], str | None]):
 def decoded(col: Column, strip_html: bool = True, form: str | None = "NFKC") -> Column:
     """Entities decoded once, then tags as spaces, then the Unicode form: one pass through Python, as these steps do not commute."""
 
+    # what holds no entity, tag or character that the form changes need not leave the JVM: the UDF gets null for it
+    beyond = None if form is None else {"NFC": r"[^\x00-\xff]", "NFKC": r"[\xa0\xa8\xaa\xaf\xb2-\xb5\xb8-\xba\xbc-\xbe]|[^\x00-\xff]"}.get(form, r"[^\x00-\x7f]")
+    needs = col.rlike("|".join(["&", *(["<"] if strip_html else []), *([beyond] if beyond else [])]))
+    return F.when(needs, _decoder(strip_html, form)(F.when(needs, col))).otherwise(col)
+
+
+@lru_cache
+def _decoder(strip_html: bool, form: str | None):
     def one(text: str) -> str:
         out = html.unescape(text) if "&" in text else text
         if strip_html and "<" in out:
             out = _TAG.sub(" ", out)
         return out if form is None or out.isascii() else unicodedata.normalize(form, out)
 
-    return over_strings(one)(col)
+    return over_strings(one)
 
 
 def tidy_spaces(col: Column) -> Column:
@@ -68,6 +77,7 @@ def tidy_spaces(col: Column) -> Column:
 
 def common_rules(col: Column, options: CleanOptions = CleanOptions()) -> Column:
     """The rules of all curators, in their order: decode, strip, normalise, URLs, e-mails, replacements, spaces, case.  Null stays null."""
+    # The patterns of URLs and e-mail addresses here, of tags and of spaces above.
     out = decoded(col, options.strip_html, options.unicode_form if options.normalize_unicode else None)
     if options.remove_urls:
         out = rx.sub(out, r"https?://\S+|www\.\S+", " ")

@@ -24,6 +24,7 @@ GREETINGS = ("hello", "hi", "hey", "good morning", "good evening")
 OPENINGS = ("hello ", "hi ", "hey ")
 QUESTIONS = ("what does", "what is", "who is")
 REMARKS = ("bro", "dude", "that's it", "long live canary islands", "nice", "great")
+# The prompts, word for word.
 SYSTEM_PROMPT = (
     "You are a virtual assistant from the Canary Islands. You reply using the vocabulary, syntax, and natural phrasing of Canary Islands Spanish. "
     "When retrieved knowledge-base context is available, use it as the primary factual source without inventing details that contradict it. "

@@ -16,7 +16,10 @@ from telar.functions.text import block_text, decoded, tidy_spaces
 from telar.plans.lineage import Scratch
 
 # Parts of the addresses of layout images.
-LAYOUT_IMAGES = ("logo", "icon", "banner", "boton", "flecha", "fondo", "cabecera", "menu", "pixel", "spacer", "sprite", "bullet", "arrow", "header", "footer")
+LAYOUT_IMAGES = """
+imagenes/espacio imagenes/separa imagenes/menu imagenes/esq imagenes/bg imagenes/btn imagenes/indice imagenes/anterior imagenes/siguiente
+imprimir.gif escuchar.gif metadatos.gif patrocinadores.gif aumentar.gif disminuir.gif
+""".split()
 
 
 class Element:

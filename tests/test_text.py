@@ -82,6 +82,20 @@ def test_encyclopedia(spark):
     assert column(spark, given, lambda c: curators.curate(c, "gevic")) == ["la información de Canarias", "Siglo XV.", "según años"]
 
 
+def test_encyclopedia_words(spark):
+    given = ["Canar�as y Par�s", "la geograf�a, los d�as, hab�a subido los cient�ficos", "un h�roe del jard�n", "�Qu�?"]
+    want = ["Canarias y París", "la geografía, los días, había subido los científicos", "un hroe del jardín", "Qu?"]
+    assert column(spark, given, lambda c: curators.curate(c, "gevic"))[:3] == want[:3]
+
+
+def test_clean_text_options(spark):
+    given = ["ver https://x.es/a y a.b@c.es\n\nFIN"]
+    assert column(spark, given, lambda c: curators.curate(c, "clean-text")) == ["ver https://x.es/a y a.b@c.es FIN"]
+    options = CleanOptions(remove_urls=True, remove_emails=True, lowercase=True)
+    assert column(spark, given, lambda c: curators.curate(c, "clean-text", options)) == ["ver y fin"]
+    assert column(spark, given, lambda c: curators.curate(c, "clean-text", CleanOptions(collapse_whitespace=False))) == ["ver https://x.es/a y a.b@c.es\nFIN"]
+
+
 def test_registry(spark):
     with pytest.raises(ValueError, match="unknown curator"):
         curators.get_curator("none")
