@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from telar.functions import rx
 from telar.operators.dialogue import qa_pairs, split_turns
+from telar.sources.files import exists
+from telar.sources.lines import numbered, placed
 
 TRAIN_PERCENT = 95
 SPLITS = ("train", "validation")
@@ -79,6 +81,8 @@ def qa_dataset(fichas: DataFrame) -> DataFrame:
 
     Recordings come from the table of fichas, a row per code; null codes and blank transcripts are skipped.
     """
+    empty = {"slug": F.element_at(F.split("url", "/"), -1), "origin": F.lit("corpecan"), "audio": F.lit("[]")}
+    fichas = fichas.withColumns({k: c for k, c in empty.items() if k not in fichas.columns})
     rows = fichas.where(F.col("code").isNotNull() & F.col("transcript").rlike(rx.px(r"\S"))).dropDuplicates(["code"])
     pairs = qa_pairs(split_turns(rows)).join(rows.drop("transcript"), "code")
     v = F.col("visible_metadata")
@@ -88,9 +92,9 @@ def qa_dataset(fichas: DataFrame) -> DataFrame:
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     meta = F.struct(
         F.lit("corpecan").alias("dataset"), F.col("pair_no").alias("pair_index"), hash_split(F.concat_ws(":", "code", number)).alias("split"), F.col("local_path").alias("ficha_dir"),
-        F.col("id").alias("record_id"), "code", F.element_at(F.split("url", "/"), -1).alias("slug"), "url", F.lit("corpecan").alias("source"), v["location"].alias("location"), v["gender"].alias("gender"), v["age"].alias("age"),
+        F.col("id").alias("record_id"), "code", "slug", "url", F.col("origin").alias("source"), v["location"].alias("location"), v["gender"].alias("gender"), v["age"].alias("age"),
         v["year"].alias("year"), v["duration"].alias("duration"), v["topics"].alias("topics"), islands.alias("islands"), v["coordinates"].alias("coordinates"),
-        F.array().cast("array<string>").alias("audio"), prompt.alias("system_prompt"),
+        F.coalesce(F.try_parse_json("audio"), F.parse_json(F.lit("[]"))).alias("audio"), prompt.alias("system_prompt"),
     )
     return pairs.select(
         F.concat_ws(":", F.lit("corpecan"), "code", number).alias("id"), F.lit("corpecan").alias("source"), "question", "answer",
@@ -99,14 +103,45 @@ def qa_dataset(fichas: DataFrame) -> DataFrame:
 
 
 def read_chats(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line, example_id, messages, split`` from files of JSON lines; the id falls back to file and line; what is no JSON object is dropped.
-
-    Lines are numbered within their file by their order in it: one file is ordered within one window.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"), "value")
-    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy("_b", "_m"))).where(rx.strip(F.col("value")) != "")
+    """``path, line, example_id, messages, split, metadata`` from files of JSON lines; the id falls back to file and line; what is no JSON object is dropped."""
+    rows = numbered(placed(spark.read.text(path))).where(rx.strip(F.col("value")) != "")
     v = F.try_parse_json("value")
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     key = F.coalesce(F.nullif(F.try_variant_get(v, "$.id", "string"), F.lit("")), F.concat_ws(":", stem, "line"))
     messages = F.try_variant_get(v, "$.messages", "array<struct<role:string,content:string>>")
-    return numbered.where(v.isNotNull()).select("path", "line", key.alias("example_id"), messages.alias("messages"), F.try_variant_get(v, "$.metadata.split", "string").alias("split"))
+    metadata = F.try_variant_get(v, "$.metadata", "map<string,variant>")
+    return rows.where(v.isNotNull()).select("path", "line", key.alias("example_id"), messages.alias("messages"), F.try_variant_get(v, "$.metadata.split", "string").alias("split"), F.to_json(metadata).alias("metadata"))
+
+
+def rag_examples(rows: DataFrame, key: str = "example_id", messages: str = "messages", split: str = "split") -> DataFrame:
+    """Valid rows as they come, repeated ids too, with their own split or one by hash; rows of any split stay, as the augmented file holds them all."""
+    own = F.nullif(F.col(split), F.lit(""))
+    return rows.where(valid_messages(F.col(messages))).withColumn("split", F.coalesce(own, hash_split(F.col(key))))
+
+
+def interviews(spark: SparkSession, root: str) -> DataFrame:
+    """The table of recordings that ``qa_dataset`` takes, from folders with ``transcript.txt`` and ``metadata.json``.
+
+    The folders are those below ``fichas``, or ``root`` itself if it has a transcript, or those below ``root``.  A folder without one of the files is left
+    out.  The code is the metadata's, or that of its visible part, or the folder's name.
+    """
+    if not exists(spark, root):
+        raise FileNotFoundError(root)
+    base = f"{root}/fichas/*" if exists(spark, f"{root}/fichas") else root if exists(spark, f"{root}/transcript.txt") else f"{root}/*"
+    if not (exists(spark, f"{base}/transcript.txt") and exists(spark, f"{base}/metadata.json")):
+        return spark.createDataFrame([], INTERVIEW)
+    read = lambda name: spark.read.text(f"{base}/{name}", wholetext=True).select(F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1).alias("dir"), F.col("value").alias(name.split(".")[0]))
+    rows = read("transcript.txt").join(read("metadata.json"), "dir").withColumn("m", F.from_json("metadata", INTERVIEW_JSON))
+    code = F.coalesce(F.nullif("m.code", F.lit("")), F.nullif("m.visible_metadata.code", F.lit("")), F.element_at(F.split("dir", "/"), -1))
+    return rows.select(code.alias("code"), "transcript", F.col("m.id").alias("id"), "m.url", F.col("m.slug").alias("slug"), F.col("m.source").alias("origin"), F.col("dir").alias("local_path"), "m.visible_metadata", "m.islands", F.to_json(F.try_variant_get(F.try_parse_json("metadata"), "$.audio", "array<variant>")).alias("audio"))
+
+
+_VISIBLE = "struct<location:string,code:string,gender:string,age:string,topics:array<string>,year:string,duration:string,coordinates:struct<lat:double,lng:double>>"
+INTERVIEW_JSON = f"struct<id:bigint,code:string,slug:string,url:string,source:string,visible_metadata:{_VISIBLE},islands:array<struct<id:int,name:string,slug:string>>>"
+INTERVIEW = f"code string, transcript string, id bigint, url string, slug string, origin string, local_path string, visible_metadata {_VISIBLE}, islands array<struct<id:int,name:string,slug:string>>, audio string"
+
+
+def two_stages(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The examples of a training in two stages, ``stage, example_id, messages, split``: the second goes on from the first, so both keep what they have."""
+    part = lambda df, n: df.select(F.lit(n).alias("stage"), "example_id", "messages", "split")
+    return part(first, 1).unionByName(part(second, 2))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from telar.functions import rx
 from telar.operators.retrieval import chunk_id, normalize
+from telar.sources.lines import numbered, placed
 
 # Where a document's id, title and text may stand, and the known folders.
 ID_KEYS, TITLE_KEYS = ("id", "doc_id"), ("title", "name", "question", "term")
@@ -53,15 +54,16 @@ def read_documents(spark: SparkSession, root: str, source: str) -> DataFrame:
     def read(glob: str) -> DataFrameReader:
         return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
 
-    lines = read("*.jsonl").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    lines = numbered(placed(read("*.jsonl").text(root))).where(rx.strip(F.col("value")) != "").withColumnRenamed("value", "raw")
     whole = read("*.json").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     listed = F.from_json(F.when(F.ltrim("raw").startswith("["), F.col("raw")), T.ArrayType(T.StringType()))
-    items = whole.select("path", F.posexplode(F.coalesce(listed, F.array("raw"))).alias("_n", "raw"))
+    items = whole.select("path", F.posexplode(F.coalesce(listed, F.array("raw"))).alias("line", "raw")).withColumn("line", F.col("line") + 1)
     table = read("*.csv").csv(root, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    rows = table.select(F.col("_metadata.file_path").alias("path"), F.to_json(F.struct(*table.columns)).alias("raw")) if table.columns else None
-    numbered = [_named(lines.where(rx.strip(F.col("raw")) != ""), source), _named(items.drop("_n"), source)] + ([_named(rows, source)] if rows is not None else [])
+    kinds = [lines, items]
+    if table.columns:
+        kinds.append(numbered(placed(table, F.to_json(F.struct(*table.columns)).alias("raw"))))
     known = [
-        normalize_document(df.withColumn("fallback_id", F.concat_ws(":", "stem", F.substring(F.md5("raw"), 1, 12))).withColumn("fallback_title", F.col("stem"))).select(*COLUMNS) for df in numbered
+        normalize_document(_named(df, source).withColumn("fallback_id", F.concat_ws(":", "stem", "line")).withColumn("fallback_title", F.col("stem"))).select(*COLUMNS) for df in kinds
     ]
     plain = read("*.{txt,md}").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), normalize(F.col("value")).alias("text"))
     plain = _named(plain.where("text != ''"), source).select("source", "path", F.col("stem").alias("doc_id"), F.col("stem").alias("title"), "text")

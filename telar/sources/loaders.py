@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.functions import rx
-from telar.operators.curators import is_redirect
 from telar.sources.attachments import MODALITIES, attachment, wanted
+from telar.sources.files import exists
 
 COLUMNS = ("id", "source", "title", "text", "metadata", "attachments")
 ATTACHMENTS = "array<struct<modality:string,path:string,url:string,mime_type:string,metadata:string>>"
@@ -112,35 +112,35 @@ def _folder() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1)
 
 
+def is_redirect(col: Column) -> Column:
+    """Whether a page only points to another: the rule of the loader, which the word ``REDIRECCIÓN`` alone does not meet."""
+    return col.rlike(rx.px(r"^\s*#redirect\b", "i"))
+
+
 def wiki(spark: SparkSession, o: LoaderOptions) -> DataFrame:
-    """Pages of one folder each: ``raw.json`` and ``metadata.json``; redirects are dropped."""
+    """Pages of one folder each, with ``raw.json`` and ``metadata.json``; redirects are dropped; ``raw`` joins the keys of the metadata."""
     base = f"{o.data_dir}/canariwiki/pages/*"
     text = lambda name: spark.read.text(f"{base}/{name}.json", wholetext=True).select(_folder().alias("_dir"), F.try_parse_json("value").alias(name))
     df = text("raw").join(text("metadata").withColumnRenamed("metadata", "meta"), "_dir", "left")
     body = F.coalesce(F.try_variant_get("raw", '$.revisions[0].slots.main["*"]', "string"), F.lit(""))
-    name = F.element_at(F.split("_dir", "/"), -1)
-    title = F.coalesce(F.try_variant_get("meta", "$.title", "string"), F.try_variant_get("raw", "$.title", "string"))
-    key = F.coalesce(F.try_variant_get("meta", "$.pageid", "string"), F.try_variant_get("raw", "$.pageid", "string"), name)
+    title = F.coalesce(F.nullif(F.try_variant_get("meta", "$.title", "string"), F.lit("")), F.try_variant_get("raw", "$.title", "string"))
+    key = F.coalesce(F.nullif(F.try_variant_get("meta", "$.pageid", "string"), F.lit("")), F.element_at(F.split("_dir", "/"), -1))
+    image = "array<struct<local_path:string,url:string,mime:string>>"
     images = F.transform(
-        F.coalesce(F.try_variant_get("meta", "$.images", "array<struct<local_path:string,url:string,mime:string>>"), F.array().cast("array<struct<local_path:string,url:string,mime:string>>")),
+        F.coalesce(F.try_variant_get("meta", "$.images", image), F.array().cast(image)),
         lambda i: F.when(i["local_path"].isNotNull(), attachment(path=i["local_path"])).otherwise(attachment(url=i["url"])),
     )
+    keys = F.map_filter(F.coalesce(F.try_variant_get("meta", "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda k, _: k != "raw")
     rows = df.withColumn("body", body).where(~is_redirect(F.col("body"))).select("*", key.alias("_key"), title.alias("_title"), images.alias("_files"))
     return rows.select(
         F.concat_ws(":", F.lit("canariwiki"), "_key").alias("id"), F.lit("canariwiki").alias("source"), F.col("_title").alias("title"), rx.strip(F.col("body")).alias("text"),
-        F.to_json(F.struct(F.col("meta"))).alias("metadata"), (wanted(F.col("_files"), o.modalities) if o.include_attachments else F.array()).cast(ATTACHMENTS).alias("attachments"),
+        F.to_json(F.map_concat(keys, F.create_map(F.lit("raw"), F.col("raw")))).alias("metadata"), (wanted(F.col("_files"), o.modalities) if o.include_attachments else F.array()).cast(ATTACHMENTS).alias("attachments"),
     )
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def _beside(spark: SparkSession, pattern: str, name: str) -> DataFrame:
     """Folder names and the contents of a file of each; folders without it are missing."""
-    if not _exists(spark, pattern):
+    if not exists(spark, pattern):
         return spark.createDataFrame([], f"_name string, {name} string")
     return spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(_folder(), "/"), -1).alias("_name"), F.col("value").alias(name))
 
@@ -153,13 +153,17 @@ def _local(spark: SparkSession, pattern: str, reserved: tuple[str, ...]) -> Data
 
 
 def corpus(spark: SparkSession, o: LoaderOptions) -> DataFrame:
-    """Recordings: the index with each folder's transcript."""
+    """Recordings: the index with each folder's transcript, and its ``metadata.json`` and ``raw.json`` beside the index's own keys."""
     base = f"{o.data_dir}/corpecan"
     df = read_jsonl(spark, f"{base}/index.jsonl")
-    df = df.withColumn("_name", F.element_at(F.split(F.regexp_replace("local_path", "/+$", ""), "/"), -1)).join(_beside(spark, f"{base}/fichas/*/transcript.txt", "_said"), "_name", "left")
+    df = df.withColumn("_name", F.element_at(F.split(F.regexp_replace("local_path", "/+$", ""), "/"), -1))
+    for name, column in (("transcript.txt", "_said"), ("metadata.json", "_meta"), ("raw.json", "_raw")):
+        df = df.join(_beside(spark, f"{base}/fichas/*/{name}", column), "_name", "left")
+    none = F.parse_json(F.lit("{}"))
+    df = df.withColumns({"metadata": F.coalesce(F.try_parse_json("_meta"), none), "raw": F.coalesce(F.try_parse_json("_raw"), none)})
     if o.include_attachments:
-        df = df.join(_local(spark, f"{base}/fichas", ("transcript.txt", "metadata.json", "raw.json")), "_name", "left")
-    place = F.col("visible_metadata.location")
+        df = df.join(_local(spark, f"{base}/fichas", ("transcript.txt", "metadata.json", "raw.json", ".DS_Store")), "_name", "left")
+    place = F.try_variant_get("metadata", "$.visible_metadata.location", "string")
     files = F.transform(F.coalesce(_has(df, "_files", "array<string>"), F.array().cast("array<string>")), lambda p: attachment(path=p))
     return _record(df, "corpecan", F.coalesce(F.nullif("code", F.lit("")), F.col("_name")), F.coalesce(F.nullif(place, F.lit("")), F.col("_name")), F.col("_said"), (), files, o)
 

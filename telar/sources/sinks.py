@@ -61,15 +61,28 @@ def write_index(chunks: DataFrame, path: str, buckets: int = 64, mode: str = "ov
     corpus_stats(chunks).write.mode(mode).parquet(f"{path}/stats")
 
 
+def augmented_rows(df: DataFrame) -> DataFrame:
+    """``id, messages, metadata`` of chat rows: their own metadata (JSON text, if there is any) with the split and the mark of augmentation."""
+    own = F.from_json(F.col("metadata"), "map<string,variant>") if "metadata" in df.columns else F.lit(None).cast("map<string,variant>")
+    own = F.map_filter(F.coalesce(own, F.create_map().cast("map<string,variant>")), lambda k, _: ~k.isin("split", "rag_augmented"))
+    marks = F.create_map(F.lit("split"), F.col("split").cast("variant"), F.lit("rag_augmented"), F.lit(True).cast("variant"))
+    return df.select(F.col("example_id").alias("id"), "messages", F.map_concat(own, marks).alias("metadata"))
+
+
 def write_augmented(df: DataFrame, path: str) -> None:
-    """Chat rows with their split and the mark of augmentation in the metadata."""
-    meta = F.struct("split", F.lit(True).alias("rag_augmented"))
-    write_jsonl(df.select(F.col("example_id").alias("id"), "messages", meta.alias("metadata")), path)
+    """Chat rows with their metadata, split and the mark of augmentation."""
+    write_jsonl(augmented_rows(df), path)
+
+
+MAX_SPLITS = 1000
 
 
 def run_settings(spark: SparkSession, settings: dict[str, object], counts: DataFrame) -> DataFrame:
-    """One row: the settings as JSON and the number of rows of each split."""
-    n = {r["split"]: r["n"] for r in counts.limit(100).collect()}
+    """One row: the settings as JSON and the number of rows of each split; an error if there are more than ``MAX_SPLITS`` splits."""
+    rows = counts.limit(MAX_SPLITS + 1).collect()
+    if len(rows) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
+    n = {r["split"]: r["n"] for r in rows}
     return spark.createDataFrame([(json.dumps({**settings, **{f"{k}_examples": v for k, v in sorted(n.items())}}, ensure_ascii=False, sort_keys=True),)], "settings string")
 
 

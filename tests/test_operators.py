@@ -217,14 +217,21 @@ def test_loaders(spark, tmp_path):
     put("canariwiki/pages/2/raw.json", json.dumps({"pageid": 8, "revisions": [{"slots": {"main": {"*": "#REDIRECT [[x]]"}}}]}))
     put("corpecan/index.jsonl", json.dumps({"id": 1, "code": "GC-1", "local_path": "x/fichas/GC-1", "visible_metadata": {"location": "Agaete"}}) + "\n" + json.dumps({"id": 2, "code": "", "local_path": "x/fichas/TF-2", "visible_metadata": {"location": None}}) + "\n")
     put("corpecan/fichas/GC-1/transcript.txt", "E1: hola\nI1: sí")
+    put("corpecan/fichas/GC-1/metadata.json", json.dumps({"id": 1, "visible_metadata": {"location": "Agaete, GC"}}))
+    put("corpecan/fichas/GC-1/raw.json", json.dumps({"x": [1]}))
+    put("canariwiki/pages/3/raw.json", json.dumps({"title": "Sin", "pageid": 9, "revisions": [{"slots": {"main": {"*": "REDIRECCIÓN es una palabra"}}}]}))
+    put("canariwiki/pages/3/metadata.json", json.dumps({"url": "u", "raw": "viejo"}))
     put("corpecan/fichas/GC-1/audio/a.mp3", "x")
     put("gevic/index.jsonl", json.dumps({"title": "t", "ids": {"idcon": "5"}, "local_path": "x/articles/5", "image_urls": ["https://a/z.gif"]}) + "\n")
     put("gevic/articles/5/raw.json", json.dumps({"title": "Geografía", "text": "crudo"}))
     put("patrimonio/patrimonio.csv", 'titulo,descripcion,zona\nUno,"dos\nlíneas",N\n')
     o = loaders.LoaderOptions(str(tmp_path), include_attachments=True)
     rows = {r.id: r for r in loaders.load(spark, "all", o).collect()}
-    assert set(rows) == {"academia_consultations:1", "academia_consultations:2", "academia_dictionary:gofio", "canariwiki:7", "corpecan:GC-1", "corpecan:TF-2", "gevic:5", "patrimonio:1"}
+    assert set(rows) == {"academia_consultations:1", "academia_consultations:2", "academia_dictionary:gofio", "canariwiki:7", "canariwiki:3", "corpecan:GC-1", "corpecan:TF-2", "gevic:5", "patrimonio:1"}
     assert rows["academia_consultations:1"].text == "Pregunta: ¿q?\nRespuesta: r" and rows["academia_dictionary:gofio"].attachments[0].modality == "image"
+    wiki, recording = json.loads(rows["canariwiki:3"].metadata), json.loads(rows["corpecan:GC-1"].metadata)
+    assert rows["canariwiki:3"].title == "Sin" and wiki["url"] == "u" and wiki["raw"]["pageid"] == 9
+    assert rows["corpecan:GC-1"].title == "Agaete, GC" and recording["raw"] == {"x": [1]} and recording["metadata"]["id"] == 1 and recording["visible_metadata"]["location"] == "Agaete"
     assert rows["canariwiki:7"].title == "Título" and rows["corpecan:GC-1"].attachments[0].path.endswith("a.mp3") and rows["corpecan:TF-2"].title == "TF-2"
     assert rows["gevic:5"].text == "crudo" and rows["gevic:5"].title == "Geografía" and rows["patrimonio:1"].text == "Uno\ndos\nlíneas"
     with pytest.raises(ValueError):
@@ -232,7 +239,7 @@ def test_loaders(spark, tmp_path):
     with pytest.raises(ValueError):
         loaders.load(spark, [], o)
     sinks.write_records(loaders.load(spark, "all", o), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out/all")).count() == 8
+    assert spark.read.text(str(tmp_path / "out/all")).count() == 9
 
 
 def test_documents(spark, tmp_path):
@@ -240,6 +247,8 @@ def test_documents(spark, tmp_path):
         (tmp_path / "gevic").mkdir(exist_ok=True)
         (tmp_path / "gevic" / name).write_text(text, encoding="utf-8")
     got = {(r.title, r.text) for r in documents.read_knowledge(spark, str(tmp_path)).collect()}
+    ids = {r.title: r.doc_id for r in documents.read_knowledge(spark, str(tmp_path)).collect()}
+    assert ids["N"] == "a:4" and ids["q"] == "c:1" and ids["T"] == "1"
     assert got == {("T", "x y"), ("N", "k: 2 z: true"), ("b", "c"), ("b", "text:"), ("q", "r"), ("d", "uno dos")}
     with pytest.raises(FileNotFoundError):
         documents.read_knowledge(spark, str(tmp_path / "none"))
@@ -250,8 +259,8 @@ def test_pages(spark):
         return spark.createDataFrame([(page, "https://a.es/x/")], "h string, u string").select(parser(F.col("h"), F.col("u")).alias("r")).first().r
 
     assert [r.idcon for r in one(pages.encyclopedia_index, '<a href="mostrar_contenidos.php?idcon=5">Uno</a><a href="mostrar_contenidos.php?idcon=5">Dos</a><a href="otra">x</a>')] == ["5"]
-    art = one(pages.encyclopedia_article, '<div id="tamano"><p class="epigrafe">Título</p><p>Uno <b>dos</b></p><td class="texto">pie</td><img src="i.jpg"><img src="logo.png"></div>')[0]
-    assert (art.title, art.text, art.image_urls) == ("Título", "Uno dos\nImage caption: pie", ["https://a.es/x/i.jpg"])
+    art = one(pages.encyclopedia_article, '<div id="tamano"><p class="epigrafe">Título</p><p>Uno <b>dos</b></p><td class="texto">pie</td><img src="i.jpg"><img src="fotos/fondo_marino.jpg"><img src="/imagenes/espacio.gif"><img src="Imprimir.gif"></div>')[0]
+    assert (art.title, art.text, art.image_urls) == ("Título", "Uno dos\nImage caption: pie", ["https://a.es/x/i.jpg", "https://a.es/x/fotos/fondo_marino.jpg"])
     entries = one(pages.dictionary_entries, '<h3><a href="/palabra/gofio">gofio</a></h3><p>Harina. 12</p><h5>x</h5><h3><a href="/palabra/baifo">baifo</a></h3><p>Cría</p><footer>f</footer>')
     assert [(e.word, e.definitions_text) for e in entries] == [("gofio", "Harina."), ("baifo", "Cría")]
     assert one(pages.consultation_page, '<main><div class="box">¿Q?</div><div class="box"><div>R <b>s</b></div> t</div><a class="badge">léxico</a></main>')[0].answer == "R s t"
@@ -283,6 +292,42 @@ def test_read_chats(spark, tmp_path):
     assert {r.example_id: r.split for r in dataset.sft_examples(rows, order=["path", "line"]).collect()}["x"] == "train"
 
 
+def test_lines_of_a_split_file(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"messages": [{"role": "user", "content": f"{i} {'x' * (i % 50)}"}]}) + "\n" for i in range(3000)))
+    (tmp_path / "b.jsonl").write_text('{"messages": []}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = dataset.read_chats(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 3001 and all(r.example_id == f"a:{int(r.messages[0].content.split()[0]) + 1}" for r in rows if r.messages)
+
+
+def test_interviews(spark, tmp_path):
+    folder = tmp_path / "fichas" / "GC-1"
+    folder.mkdir(parents=True)
+    (folder / "transcript.txt").write_text("E1: ¿Y eso?\nI1: Pues nada.")
+    (folder / "metadata.json").write_text(json.dumps({"id": 4, "slug": "s", "source": "corpecan", "url": "u", "visible_metadata": {"code": "GC-9", "age": "80 años"}, "islands": [{"name": "Gran Canaria"}], "audio": [{"id": 5}]}))
+    (tmp_path / "fichas" / "sin").mkdir()
+    row = dataset.qa_dataset(dataset.interviews(spark, str(tmp_path))).first()
+    meta = json.loads(spark.createDataFrame([row], dataset.qa_dataset(dataset.interviews(spark, str(tmp_path))).schema).select(F.to_json("metadata").alias("m")).first().m)
+    assert (row.id, row.question, row.answer) == ("corpecan:GC-9:0001", "¿Y eso?", "Pues nada.") and meta["audio"] == [{"id": 5}] and meta["slug"] == "s" and meta["islands"] == ["Gran Canaria"]
+    with pytest.raises(FileNotFoundError):
+        dataset.interviews(spark, str(tmp_path / "none"))
+
+
+def test_rag_rows(spark):
+    kind = "example_id string, messages array<struct<role:string,content:string>>, split string, metadata string"
+    rows = [("a", [("user", "q")], "test", '{"author": "x", "split": "test"}'), ("a", [("user", "q")], None, None), ("b", [], "train", None), ("conv-7", [("user", "q")], "", "{}")]
+    kept = dataset.rag_examples(spark.createDataFrame(rows, kind))
+    assert sorted((r.example_id, r.split) for r in kept.collect()) == [("a", "test"), ("a", "validation"), ("conv-7", "train")]
+    meta = [json.loads(r.m) for r in sinks.augmented_rows(kept).select(F.to_json("metadata").alias("m")).collect()]
+    assert {"author": "x", "split": "test", "rag_augmented": True} in meta
+    stages = dataset.two_stages(kept, kept.where("split = 'test'"))
+    assert sorted((r.stage, r["count"]) for r in stages.groupBy("stage").count().collect()) == [(1, 3), (2, 1)]
+
+
 def test_page_helpers(spark):
     raw = ['{"title": "F", "imageinfo": [{"url": "u", "mime": "image/png", "size": 3}]}', '{"title": "F"}', "x"]
     df = spark.createDataFrame([(r,) for r in raw], "raw string")
