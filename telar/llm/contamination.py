@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telar.plans.filters import bit_filter
+from telar.plans.filters import bit_filter, hits
 from telar.plans.lineage import Scratch
 from telar.plans.shared import Shared
 from telar.plans.skew import fits
@@ -130,8 +130,7 @@ def _windows(rows: DataFrame, wanted: Shared | None = None) -> DataFrame:
             for s, h in enumerate(seeds.hashes(codes)):
                 hit = whole
                 if bits is not None:
-                    at = h & np.uint64(len(bits) * 8 - 1)
-                    hit = whole & ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    hit = whole & hits(bits, h)
                 p = np.flatnonzero(hit)
                 if len(p):
                     found = np.unique(np.column_stack((doc[p].astype(np.uint64), h[p])), axis=0)

@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telar.llm.graph import connected_components
+from telar.plans.filters import bit_filter, hits, keep
 from telar.plans.lineage import Scratch
+from telar.plans.shared import Shared
+from telar.plans.skew import join_counted
 
 SIMILARITY = 0.7
 BANDS, ROWS = 28, 5  # a pair at 0.70 is missed once in 170 times, at 0.75 once in 2,000, at 0.80 once in 60,000
 BITS = 256  # of a fingerprint
 PIVOTS = 24
+CELL = 1000  # rows of one key that meet in one piece
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -97,11 +101,14 @@ class Sketcher:
             bits[doc, (pair >> _U(40)) & _U(BITS - 1)] = True
             bits = bits[rows]
             inner = bits.astype(np.float32) @ self.pivots.T
+            # a byte each, eight to a number; the one distance of 256 counts as 255, which keeps differences from growing
             far = bits.sum(1, dtype=np.float32)[:, None] + self.pivots.sum(1)[None, :] - 2 * inner
-        return {"rows": rows, "n": n[rows], "c1": c1.view(np.int64), "c2": c2.view(np.int64), "keys": keys.view(np.int64), "bits": np.packbits(bits, axis=1), "far": far.astype(np.int16)}
+            far = np.ascontiguousarray(np.minimum(far, 255).astype(np.uint8)).view(np.int64)
+        return {"rows": rows, "n": n[rows], "c1": c1.view(np.int64), "c2": c2.view(np.int64), "keys": keys.view(np.int64), "bits": np.packbits(bits, axis=1).view(np.int64), "far": far}
 
 
-_SCHEMA = "tbl string, id string, c1 bigint, c2 bigint, n int, keys array<bigint>, bits binary, far array<smallint>"
+WORDS, FARS = [f"w{i}" for i in range(BITS // 64)], [f"far{i}" for i in range(PIVOTS // 8)]
+_SCHEMA = "tbl string, id string, c1 bigint, c2 bigint, n int, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in [*WORDS, *FARS])
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -122,22 +129,45 @@ def _sketches(texts: DataFrame) -> DataFrame:
                 [
                     tbl.take(rows), ids.take(rows), pa.array(s["c1"]), pa.array(s["c2"]), pa.array(s["n"].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * sketcher.bands), pa.array(s["keys"].ravel())),
-                    pa.array([x.tobytes() for x in s["bits"]], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * PIVOTS), pa.array(s["far"].ravel())),
+                    *[pa.array(np.ascontiguousarray(s[part][:, i])) for part in ("bits", "far") for i in range(s[part].shape[1])],
                 ],
-                names=["tbl", "id", "c1", "c2", "n", "keys", "bits", "far"],
+                names=["tbl", "id", "c1", "c2", "n", "keys", *WORDS, *FARS],
             )
 
     return texts.mapInArrow(run, _SCHEMA)
 
 
+def _pairs_within(rows: DataFrame, counts: DataFrame, keys: list[str], columns: list[str], spread: str) -> DataFrame:
+    """Every ordered pair of different rows of one key, as ``{column}_a`` and ``{column}_b``; ``counts`` has the number of rows of each key that matters.
+
+    A key of more than ``CELL`` rows is cut into parts by a hash of ``spread``, and each two parts meet in a cell of their own, so no task gets
+    more of one key than the pairs of two parts.  The others meet as they are.
+    """
+
+    def meet(df: DataFrame, on: list[str], cells: tuple[list, list] = ([], [])) -> DataFrame:
+        a = df.select(*keys, *[F.col(c).alias(f"{c}_a") for c in columns], *cells[0])
+        return a.join(df.select(*keys, *[F.col(c).alias(f"{c}_b") for c in columns], *cells[1]), on).drop("_i", "_j")
+
+    hot = counts.where(F.col("times") > CELL)
+    total = hot.agg(F.sum("times")).first()[0]
+    if not total:
+        return meet(rows.select(*keys, *columns).repartition(*keys).distinct(), keys)
+    marked = join_counted(rows, counts, keys, "times", counts.agg(F.sum("times")).first()[0])
+    cold = meet(marked.where(F.col("times") <= CELL).select(*keys, *columns).distinct(), keys)
+    g = F.ceil(F.col("times") / CELL).cast("int")
+    parts = marked.where(F.col("times") > CELL).select(*keys, *columns, g.alias("_g")).distinct().withColumn("_p", F.pmod(F.xxhash64(F.lit(3), spread), F.col("_g")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
+    return cold.unionByName(meet(parts, [*keys, "_i", "_j"], ([F.col("_p").alias("_i"), every.alias("_j")], [F.col("_p").alias("_j"), every.alias("_i")])))
+
+
 class NearDuplicates:
     """Pairs of texts whose sets of adjacent word pairs have a Jaccard similarity of at least ``similarity``, and the groups they form.
 
     ``texts`` has the columns ``tbl``, ``id`` and ``text``; only texts of one ``tbl`` are compared.
 
     1. Texts with the same set of word pairs are one class; all later steps see one of each class.
-    2. Candidates share a min-hash band and are near enough in size.  Buckets with one class go first; what is left is joined.
+    2. Candidates share a min-hash band and are near enough in size.  Bands are counted, then read again through a filter of fixed size for those
+       of several texts; buckets of one class go, and what is left is joined, buckets of any size in cells (``_pairs_within``).
     3. Pivot tables: each fingerprint's Hamming distances to the reference fingerprints are known.  For a pair at the threshold the
        fingerprints differ in at most (1 - s) / (1 + s) times the sum of both sizes, and no coordinate can differ by more; pairs beyond are
        discarded, first by the largest coordinate difference, then by the fingerprints' distance itself.
@@ -157,29 +187,55 @@ class NearDuplicates:
         self.members = self.sketches.select("tbl", "id", "c1", "c2").distinct()
         self.links = self.scratch.cut(self._verify(self._survivors(self._candidates())), "links")
 
+    def _bands(self, wanted: Shared) -> DataFrame:
+        """``key, c1, n``: the bands of each text whose keys the filter may have."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = wanted.value
+            for batch in batches:
+                keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(batch)), np.diff(batch.column(2).offsets.to_numpy()))
+                p = np.flatnonzero(hits(bits, keys))
+                if len(p):
+                    of = pa.array(row[p])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[p]), batch.column(0).take(of), batch.column(1).take(of)], names=["key", "c1", "n"])
+
+        return self.sketches.select("c1", "n", "keys").mapInArrow(run, "key bigint, c1 bigint, n int")
+
     def _candidates(self) -> DataFrame:
-        rows = self.sketches.select("c1", "n", F.explode("keys").alias("key"))
-        shared = rows.selectExpr("*", "min(c1) over (partition by key) as lo", "max(c1) over (partition by key) as hi").where("lo != hi").select("key", "c1", "n").distinct()
-        shared = self.scratch.cut(shared, "buckets")
-        a, b = shared.select("key", F.col("c1").alias("a"), F.col("n").alias("na")), shared.select("key", F.col("c1").alias("b"), F.col("n").alias("nb"))
-        near = (F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb"))
-        return a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+        counts = self.sketches.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        counts = self.scratch.cut(counts.select("key"), "counts")
+        found = self.scratch.cut(self._bands(Shared(counts.sparkSession, bit_filter(counts, "key"))), "bands")
+        several = found.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo != hi").select("key", "times")
+        several = self.scratch.cut(several, "several")
+        both = _pairs_within(keep(found, "key", several), several, ["key"], ["c1", "n"], "c1")
+        near = F.least("n_a", "n_b") >= F.lit(self.similarity) * F.greatest("n_a", "n_b")
+        return both.where((F.col("c1_a") < F.col("c1_b")) & near).select(F.col("c1_a").alias("a"), F.col("c1_b").alias("b")).distinct()
+
+    def _classes(self, pairs: DataFrame, tag: str) -> DataFrame:
+        return self.scratch.cut(pairs.select(F.col("a").alias("c1")).unionByName(pairs.select(F.col("b").alias("c1"))).distinct(), tag)
 
     def _survivors(self, pairs: DataFrame) -> DataFrame:
-        marks = self.sketches.select("c1", "n", "far", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("bigint").alias(f"w{i}") for i in range(BITS // 64)])
-        side = lambda x: marks.select(*[F.col(c).alias(x if c == "c1" else f"{c}_{x}") for c in marks.columns]).dropDuplicates([x])
+        pairs = self.scratch.cut(pairs, "candidates")
+        marks = keep(self.sketches.select("c1", "n", *FARS, *WORDS), "c1", self._classes(pairs, "classes"))
+        marks = self.scratch.cut(marks.dropDuplicates(["c1"]), "marks")
+        side = lambda x: marks.select(*[F.col(c).alias(x if c == "c1" else f"{c}_{x}") for c in marks.columns])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         s = self.similarity
         bound = F.lit((1 - s) / (1 + s)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6)
-        apart = F.array_max(F.zip_with("far_a", "far_b", lambda x, y: F.abs(x - y)))
-        bits = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(BITS // 64)), F.lit(0))
+        byte = lambda c, k: F.shiftright(F.col(c), 8 * k).bitwiseAND(F.lit(255))
+        apart = F.greatest(*[F.abs(byte(f"{c}_a", k) - byte(f"{c}_b", k)) for c in FARS for k in range(8)])
+        bits = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WORDS), F.lit(0))
+        self.discarded = lambda: both.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(apart > bound).alias("by_pivots"), F.count_if((apart <= bound) & (bits > bound)).alias("by_fingerprints"))
         return both.where(apart <= bound).where(bits <= bound).select("a", "b")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         pairs = self.scratch.cut(pairs, "survivors")
-        wanted = pairs.select(F.col("a").alias("c1")).unionByName(pairs.select(F.col("b").alias("c1"))).distinct()
-        one = self.sketches.join(wanted, "c1", "left_semi").groupBy("c1", "c2").agg(F.min(F.struct("tbl", "id")).alias("m")).select("c1", "c2", "m.tbl", "m.id")
-        texts = self.scratch.cut(self.texts.join(one, ["tbl", "id"]).dropDuplicates(["c1", "c2"]).select("c1", "c2", "text"), "texts")
+        at = F.xxhash64("tbl", "id").alias("at")
+        one = keep(self.sketches.select("c1", "c2", "tbl", "id"), "c1", self._classes(pairs, "verified")).groupBy("c1", "c2").agg(F.min(F.struct("tbl", "id")).alias("m"))
+        one = self.scratch.cut(one.select("c1", "c2", "m.tbl", "m.id", F.xxhash64("m.tbl", "m.id").alias("at")), "chosen")
+        read = keep(self.texts.select("tbl", "id", "text", at), "at", one).drop("at")
+        texts = self.scratch.cut(read.join(one.drop("at"), ["tbl", "id"]).select("c1", "c2", "text"), "texts")
         x, y = texts.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("text").alias("ta")), texts.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("text").alias("tb"))
         limit = self.similarity
 
@@ -193,14 +249,15 @@ class NearDuplicates:
                 yield batch[["a", "a2", "b", "b2"]].assign(similarity=like)
 
         checked = pairs.join(x, "a").join(y, "b").select("a", "a2", "b", "b2", "ta", "tb").mapInPandas(check, "a bigint, a2 bigint, b bigint, b2 bigint, similarity double")
-        return checked.where(F.col("similarity") >= limit)
+        return checked.where(F.col("similarity") >= limit).distinct()  # a text that came again was verified again
 
     def pairs(self) -> DataFrame:
         """``tbl, id_a, id_b``: every pair of different ids, the smaller first; classes of copies are expanded."""
-        m = self.members
-        left = lambda p: m.select("tbl", F.col("id").alias(f"id_{p}"), F.col("c1").alias(p), F.col("c2").alias(f"{p}2"))
-        linked = self.links.select("a", "a2", "b", "b2").join(left("a"), ["a", "a2"]).join(left("b").drop("tbl"), ["b", "b2"]).select("tbl", "id_a", "id_b")
-        same = left("a").join(left("b").select("id_b", F.col("b").alias("a"), F.col("b2").alias("a2")), ["a", "a2"]).where("id_a < id_b").select("tbl", "id_a", "id_b")
+        m = self.scratch.cut(self.members, "members")
+        of = lambda p: keep(m, "c1", self._classes(self.links, f"linked-{p}")).select("tbl", F.col("id").alias(f"id_{p}"), F.col("c1").alias(p), F.col("c2").alias(f"{p}2"))
+        linked = self.links.select("a", "a2", "b", "b2").join(of("a"), ["a", "a2"]).join(of("b").drop("tbl"), ["b", "b2"]).select("tbl", "id_a", "id_b")
+        copies = self.scratch.cut(m.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "copies")
+        same = _pairs_within(keep(m, "c1", copies), copies, ["c1", "c2"], ["tbl", "id"], "id").where("id_a < id_b").select(F.col("tbl_a").alias("tbl"), "id_a", "id_b")
         out = linked.unionByName(same).where("id_a != id_b")
         return out.select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from telar.llm import pii
+from telar.llm import near_duplicates, pii
 from telar.llm.contamination import find_leaks, words_of
 from telar.llm.languages import language_of
 from telar.llm.mixing import Mixture, flight, plan_sources
@@ -47,6 +47,25 @@ def test_near_duplicates(spark):
     assert set(groups) == set(sets) and all(groups[t, a] == groups[t, b] for t, a, b in got)
 
 
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """A third of all texts are edited copies of one, and some of them equal: buckets and classes are cut into cells."""
+    monkeypatch.setattr(near_duplicates, "CELL", 7)
+    rng = random.Random(2)
+    base = prose(rng, 60).split()
+    rows = [("t", f"n{i:02d}", prose(rng, 40)) for i in range(90)]
+    for i in range(45):
+        edited = list(base)
+        if i % 3:
+            edited[rng.randrange(60)] = "cambio"
+        rows.append(("t", f"h{i:02d}", " ".join(edited)))
+    nd = NearDuplicates(spark.createDataFrame(rows, "tbl string, id string, text string"))
+    sets = {i: word_pairs(x) for _, i, x in rows}
+    want = {(a, b) for a, p in sets.items() for b, q in sets.items() if a < b and len(p & q) >= 0.7 * len(p | q)}
+    assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == want and len(want) > 900
+    seen = nd.discarded().first()
+    assert seen.candidates >= seen.by_pivots + seen.by_fingerprints
+
+
 def test_near_duplicates_empty(spark):
     nd = NearDuplicates(spark.createDataFrame([], "tbl string, id string, text string"))
     assert nd.pairs().count() == nd.groups().count() == 0
