@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from telar.functions import rx
 from telar.functions.text import CleanOptions, over_strings, safe_name
 from telar.operators import curators, dataset, dedup, dialogue, language, quality, retrieval
-from telar.sources import attachments, documents, pages, sinks
+from telar.plans.lineage import Scratch
+from telar.sources import attachments, documents, files, pages, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,14 +32,33 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _chosen(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key of a table of files: chosen on key and order alone, then read by its place, so texts are neither sorted nor aggregated."""
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    first = rows.where(F.col(key).isNotNull()).select(key, F.struct(*order, at.alias("at")).alias("o")).groupBy(key).agg(F.min("o.at").alias("at") if not order else F.min("o").alias("o"))
+    place = first.select(F.col("at" if not order else "o.at").alias("_at"))
+    return rows.withColumn("_at", at).join(place, "_at", "left_semi").drop("_at")
+
+
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
     """A row per chunk."""
-    return _table(spark, folder, "chunks").dropDuplicates(["chunk_id"])
+    return _chosen(_table(spark, folder, "chunks"), "chunk_id")
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record, the last delivery."""
-    return dedup.first_by(_table(spark, folder, "text_records"), ["id"], "loaded_at").drop("saved_at", "loaded_at")
+    """A row per record, the first delivery."""
+    return _chosen(_table(spark, folder, "text_records"), "id", "loaded_at").drop("saved_at", "loaded_at")
+
+
+_indexes: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> retrieval.Index:
+    """The full-text index of the chunks: written once for a session and the state of the table's files, then searched by every query."""
+    at = (spark.sparkContext.applicationId, files.state(spark, f"{folder}/chunks.parquet"))
+    if at not in _indexes:
+        _indexes[at] = retrieval.build_index(_chunks(spark, folder), f"{Scratch(spark, 'index').root}/index")
+    return _indexes[at]
 
 
 def _messages(spark: SparkSession, folder: str, table: str = "message_examples", key: str = "example_id") -> DataFrame:
@@ -195,17 +215,24 @@ _BM25 = f"""
 
 @query(f"with {_BM25} select * from top")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.bm25(_chunks(spark, folder), _table(spark, folder, "eval_items"))
+    return retrieval.bm25(_index(spark, folder), _table(spark, folder, "eval_items"))
+
+
+_PROBES = ((-1, "en los altos de"), (-2, "ltos de l"), (-3, "100%"), (-4, "egún la costumbr"), (-5, "rranc"))
 
 
-def _probes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "en los altos de"), (2, "Xqz no está en ningún texto"), (3, "100%"), (4, "según la costumbre")], "item_id int, text string")
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The test passages, and some pieces of words that ranking cannot find."""
+    return _table(spark, folder, "eval_items").select("item_id", "text").unionByName(spark.createDataFrame(list(_PROBES), "item_id bigint, text string"))
 
 
-@query(f"""with q(item_id, text) as (values (1, 'en los altos de'), (2, 'Xqz no está en ningún texto'), (3, '100%'), (4, 'según la costumbre'))
-    select item_id, row_number() over (partition by item_id order by chunk_id)::int as rank, chunk_id from q join {_ONE} c on contains(lower(c.text), lower(q.text)) qualify rank <= 5""")
+@query(f"""with {_BM25.replace("from eval_items", "from (select item_id, text from eval_items union all select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in _PROBES) + ") v(item_id, text))")},
+    q as (select item_id, text from eval_items union all select * from (values {", ".join(f"({i}, '{t}')" for i, t in _PROBES)}) v(item_id, text))
+    select item_id, row_number() over (partition by item_id order by chunk_id)::int as rank, chunk_id
+    from (select * from q where item_id not in (select item_id from top)) q join {_ONE} c on contains(lower(c.text), lower(q.text)) qualify rank <= 5""")
 def like_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.like_fallback(_chunks(spark, folder), _probes(spark), _probes(spark).limit(0))
+    asked = _asked(spark, folder)
+    return retrieval.like_fallback(_chunks(spark, folder), asked, retrieval.bm25(_index(spark, folder), asked))
 
 
 def _contexts(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,7 +261,7 @@ def qa_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def qa_dataset(spark: SparkSession, folder: str) -> DataFrame:
     rows = dataset.qa_dataset(_table(spark, folder, "corpecan_fichas"))
-    return rows.select("id", "source", "question", "answer", F.to_json("messages").alias("messages"), F.to_json("metadata").alias("metadata"))
+    return rows.select("id", "question", "answer", "metadata.split", "metadata.system_prompt")
 
 
 _CODES = "list_sum(list_transform(string_split({}, ''), lambda c: unicode(c)))"
@@ -326,7 +353,7 @@ def rag_augment(spark: SparkSession, folder: str) -> DataFrame:
     rows = dataset.sft_examples(_table(spark, folder, "message_examples"))
     asked = rows.select("example_id", dialogue.last_user(F.col("messages")).alias("text")).where(dialogue.needs_retrieval(F.col("text")))
     chunks = _chunks(spark, folder)
-    top = retrieval.bm25(chunks, asked, query_key="example_id").join(chunks.select("chunk_id", "source", "title", "text"), "chunk_id")
+    top = retrieval.bm25(_index(spark, folder), asked, query_key="example_id").join(chunks.select("chunk_id", "source", "title", "text"), "chunk_id")
     examples = [r.example for r in style_examples(spark, folder).collect()]  # two rows
     out = dialogue.augment(rows, retrieval.pack_context(top, "example_id"), examples)
     return out.select("example_id", "split", dialogue.render(F.col("messages")).alias("prompt"))

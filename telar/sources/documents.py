@@ -58,9 +58,9 @@ def read_documents(spark: SparkSession, root: str, source: str) -> DataFrame:
     whole = read("*.json").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     listed = F.from_json(F.when(F.ltrim("raw").startswith("["), F.col("raw")), T.ArrayType(T.StringType()))
     items = whole.select("path", F.posexplode(F.coalesce(listed, F.array("raw"))).alias("line", "raw")).withColumn("line", F.col("line") + 1)
-    table = read("*.csv").csv(root, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
     kinds = [lines, items]
-    if table.columns:
+    if not read("*.csv").format("binaryFile").load(root).select("path").isEmpty():  # a table without files has no columns to infer
+        table = read("*.csv").csv(root, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
         kinds.append(numbered(placed(table, F.to_json(F.struct(*table.columns)).alias("raw"))))
     known = [
         normalize_document(_named(df, source).withColumn("fallback_id", F.concat_ws(":", "stem", "line")).withColumn("fallback_title", F.col("stem"))).select(*COLUMNS) for df in kinds

@@ -48,3 +48,19 @@ def write_folders(df: DataFrame, root: str, folder: Column, files: dict[str, Col
             yield pd.DataFrame({"folder": batch["folder"], "n_files": counts})
 
     return named.mapInPandas(write, "folder string, n_files int")
+
+
+def write_files(df: DataFrame, root: str, name: Column, content: Column) -> DataFrame:
+    """A file per row directly below ``root``; returns ``name`` and writes when that is computed.  Names must differ; null contents make no file."""
+    rows = df.select(name.alias("name"), content.alias("content")).where("name is not null and content is not null")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for n, t in zip(batch["name"], batch["content"], strict=True):
+                with system.open_output_stream(f"{base}/{n}") as out:
+                    out.write(t.encode("utf-8"))
+            yield batch[["name"]]
+
+    return rows.mapInPandas(write, "name string")

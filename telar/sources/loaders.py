@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telar.functions import rx
@@ -64,15 +64,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Rows numbered from 1 in file order: offsets of the partitions come from their counts, so nothing is sorted in one task."""
-    at = df.select("*", F.monotonically_increasing_id().alias("_at"))
-    at = at.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r._part: r.n for r in at.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
-    starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part], total = total, total + counts[part]
-    start = F.create_map(*[x for k, v in starts.items() for x in (F.lit(k), F.lit(v))]) if starts else F.create_map(F.lit(0), F.lit(0))
-    return at.withColumn("_idx", start[F.col("_part")] + F.col("_row") + 1).drop("_at", "_part", "_row")
+    """Rows numbered from 1 in the order of files and of rows in them; what is ordered in one place is one row per part of a file."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    parts = rows.groupBy("_path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_start"))
+    return rows.join(starts, ["_path", "_block"]).withColumn("_idx", F.col("_at") + F.col("_start")).drop("_path", "_block", "_at", "_start")
 
 
 def _rest(df: DataFrame, consumed: tuple[str, ...]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.functions.text import over_strings, safe_name
-from telar.operators.retrieval import corpus_stats, postings
+from telar.operators.retrieval import Index, build_index
 
 _EXPLICIT = {"ignoreNullFields": "false"}
 
@@ -51,14 +51,13 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Lists and structures as JSON text."""
     flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
-    flat.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    flat.write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
-    """Chunks, postings ranged by term, and the corpus statistics: readers prune the postings by their sorted terms."""
+def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> Index:
+    """Chunks and their full-text index, which ``retrieval.open_index`` reads for searches."""
     chunks.write.mode(mode).parquet(f"{path}/chunks")
-    postings(chunks).repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
-    corpus_stats(chunks).write.mode(mode).parquet(f"{path}/stats")
+    return build_index(chunks.sparkSession.read.parquet(f"{path}/chunks"), path, mode=mode)
 
 
 def augmented_rows(df: DataFrame) -> DataFrame:

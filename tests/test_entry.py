@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from telar.operators import catalogue, dedup
+from telar.operators import catalogue, catalogue_sources, dedup  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = sorted(catalogue.SQL)
