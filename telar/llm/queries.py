@@ -15,7 +15,7 @@ from telar.llm.near_duplicates import NearDuplicates
 from telar.llm.pii import find_pii, mask_pii
 from telar.llm.qa_defects import QaDefects
 from telar.llm.split_text import split_oversized
-from telar.llm.splits import FIELDS, LARGE_FIRST, LinkedSplits
+from telar.llm.splits import FIELDS, LARGE_FIRST, UNKNOWN, LinkedSplits
 from telar.llm.transcripts import speaker_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,3 +196,13 @@ SQL: dict[str, str] = {
         g as (select distinct side, k, array_to_string(w[i : i + 11], ' ') as g from w, range(1, len(w) - 10) as r(i))
         select distinct a.k as doc_id, b.k as item_id from g a join g b using (g) where a.side = 'd' and b.side = 'i'""",
 }
+
+_KNOWN_UNKNOWN = ", ".join(f"'{w}'" for w in UNKNOWN)
+_LINK = f"regexp_replace(strip_accents(lower(x)), '(?:{_WS}|[\\p{{Z}}\\p{{Cf}}])+', '', 'g')"
+SQL["p2_found"] = f"""
+        with recursive given as (
+            select example_id as id, kind, {_LINK} as v from (select example_id, unnest(['code', 'author', 'entity']) as kind, unnest([metadata.code, metadata.author, metadata.entity]) as x from message_examples)),
+        known as (select distinct id, kind, v from given where regexp_replace(v, '[^\\p{{L}}\\p{{N}}]+', '', 'g') not in ('', {_KNOWN_UNKNOWN})),
+        edge as (select distinct a.id as a, b.id as b from known a join known b using (kind, v) where a.id <> b.id),
+        walk(id, root) as (select a, a from edge union select w.id, e.b from walk w join edge e on e.a = w.root)
+        select id as example_id, min(root) as group_id from walk group by id"""
