@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telar.plans.lineage import Scratch
+from telar.plans.shared import Shared
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK = 4000  # documents that one flight takes together
@@ -22,13 +23,18 @@ EDGE = 1e-9
 
 
 def count_tokens(df: DataFrame, text: str, tokenizer_path: str = TOKENIZER) -> DataFrame:
-    """``df`` with a column ``tokens``: the length of ``text`` in tokens of a public tokenizer's file; 0 for null."""
+    """``df`` with a column ``tokens``: the length of ``text`` in tokens of a public tokenizer's file; 0 for null.
+
+    The file is read here and goes to every task, so only the driver needs it.
+    """
+    with open(tokenizer_path, encoding="utf-8") as f:
+        told = Shared(df.sparkSession, f.read())
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer = Tokenizer.from_str(told.value)
         tokenizer.encode_special_tokens = True
         for batch in batches:
             texts = batch.fillna("").tolist()
@@ -167,8 +173,8 @@ class Mixture:
         round_ = 0
         while True:
             last = max(counts.values(), default=0) <= BLOCK
-            blocks = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(max(1, -(-n // BLOCK))))]) if counts else F.create_map(F.lit(""), F.lit(1))
-            split = open_.withColumn("block", F.pmod(F.xxhash64(F.lit(round_), "doc_id"), blocks[F.col("source")].cast("bigint")))
+            blocks = spark.createDataFrame([(s, max(1, -(-n // BLOCK))) for s, n in counts.items()], "source string, blocks bigint")  # a row per source of the targets
+            split = open_.join(F.broadcast(blocks), "source").withColumn("block", F.pmod(F.xxhash64(F.lit(round_), "doc_id"), F.col("blocks"))).drop("blocks")
             flown = self.scratch.cut(split.groupBy("source", "block").applyInPandas(_flier(self.seed, round_, last), open_.schema), "flown")
             settled = F.col("chance").isin(0.0, 1.0)
             decided.append(flown.where(settled).select("doc_id", "source", "tokens", (F.col("base") + F.col("chance").cast("int")).alias("copies")))

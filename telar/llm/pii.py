@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -12,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.llm.words import fold
 from telar.plans.shared import Shared
 
 # Given names and surnames that are common in Spanish, beside those of the lexicon.
@@ -87,10 +87,6 @@ MARK = re.compile("[\u0300-\u036f]")
 DIGIT = re.compile(r"\d")
 
 
-def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
-
-
 def luhn(digits: str) -> bool:
     """The checksum of payment cards."""
     total = 0

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FRAME_CHARS = 4_000_000  # of texts whose pieces come out together
+COLUMNS = ["id", "piece_no", "start_pos", "text"]
 _HEADINGS = [re.compile(rf"^(?:[ \t]*={{{n}}}[^=\n][^\n]*={{{n}}}[ \t]*|[ \t]*#{{{n}}}[ \t][^\n]*|[ \t]*<h{n}\b)", re.M | re.I) for n in range(1, 7)]
 _PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _LINE = re.compile(r"\n")
@@ -87,9 +89,15 @@ def split_oversized(df: DataFrame, key: str, text: str, max_chars: int, overlap:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, chars = [], 0
             for i, t in zip(batch["id"], batch["text"], strict=True):
-                at = pieces(t, max_chars, overlap)
-                yield pd.DataFrame({"id": i, "piece_no": range(1, len(at) + 1), "start_pos": [a + 1 for a, _ in at], "text": [t[a:b] for a, b in at]})
+                rows += [(i, n, a + 1, t[a:b]) for n, (a, b) in enumerate(pieces(t, max_chars, overlap), 1)]
+                chars += len(t)
+                if chars > FRAME_CHARS:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows, chars = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=COLUMNS)
 
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & (F.length("text") > max_chars))
     return rows.dropDuplicates(["id"]).mapInPandas(cut, "id string, piece_no int, start_pos int, text string")
