@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.operators import dataset, dialogue
-from telar.operators.catalogue import _CODES, _LAST, _VALID, _WS, SQL, _records, _sq, _table, query
+from telar.operators.catalogue import _CODES, _LAST, _VALID, _WS, SQL, _records, _sq, _table, _tidy, query
 from telar.plans.lineage import Scratch
 from telar.sources import attachments, documents, files, jobs, loaders, sinks
 
@@ -227,26 +227,33 @@ def speaker_roles(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("code", dialogue.speaker_role(F.col("speaker")).alias("role")).groupBy("code", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""select id as url, coalesce(nullif({_sq("coalesce(title, '')")}, ''), 'índice') as title, case when {_sq("coalesce(text, '')")} = '' then 'empty_text' end as reason from {_LAST} where source = 'gevic' and not regexp_matches(coalesce(title, '') || coalesce(text, ''), '[<>&]')
-    union all select 'sin página', 'índice', 'no_page'""")
-def encyclopedia_job(spark: SparkSession, folder: str) -> DataFrame:
-    """The encyclopedia's articles from fetched pages: kept ones, and skipped ones with the reason; titles that are missing come from the index.
+def _escaped(name: str) -> Column:
+    """Text as a page holds it."""
+    out = F.coalesce(name, F.lit(""))
+    for plain, mark in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(plain), F.lit(mark))
+    return out
+
+
+_TITLE, _TEXT = _tidy(_sq("coalesce(title, '')")), _tidy(_sq("coalesce(text, '')"))
 
-    Records with characters of markup are left to ``page_article``: here the page is made from the text as it is.
-    """
-    rows = _of(spark, folder, "gevic").where(~F.concat(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).rlike("[<>&]"))
-    page = F.concat(F.lit('<div id="tamano"><p class="epigrafe">'), F.coalesce("title", F.lit("")), F.lit("</p><p>"), F.coalesce("text", F.lit("")), F.lit("</p></div>"))
+
+@query(f"""select id as url, coalesce(nullif({_TITLE}, ''), 'índice') as title, case when {_TEXT} = '' then 'empty_text' end as reason from {_LAST} where source = 'gevic' union all select 'sin página', 'índice', 'no_page'""")
+def encyclopedia_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The encyclopedia's articles from fetched pages: kept ones, and skipped ones with the reason; titles that are missing come from the index."""
+    rows = _of(spark, folder, "gevic")
+    page = F.concat(F.lit('<div id="tamano"><p class="epigrafe">'), _escaped("title"), F.lit("</p><p>"), _escaped("text"), F.lit("</p></div>"))
     index = rows.select(F.col("id").alias("url")).unionByName(spark.createDataFrame([("sin página",)], "url string")).withColumn("title", F.lit("índice"))
     out = jobs.encyclopedia(index, rows.select(F.col("id").alias("url"), page.alias("page")))
     return out.select("url", "title", "reason")
 
 
-@query(f"""select id as url, min(2)::int as listing_page, coalesce(nullif({_sq("coalesce(any_value(title), '')")}, ''), 'del listado') as question, {_sq("coalesce(any_value(text), '')")} as answer, 'x' as categories, null::varchar as reason
-    from {_LAST} where source = 'academia_consultations' and not regexp_matches(coalesce(title, '') || coalesce(text, ''), '[<>&]| [.,;:!?)]|[¿¡(] ') group by id union all select 'sin página', 3, 'del listado', '', 'x', 'no_page'""")
+@query(f"""select id as url, 2 as listing_page, coalesce(nullif({_TITLE}, ''), 'del listado') as question, {_TEXT} as answer, 'x' as categories, null::varchar as reason
+    from {_LAST} where source = 'academia_consultations' union all select 'sin página', 3, 'del listado', '', 'x', 'no_page'""")
 def consultations_job(spark: SparkSession, folder: str) -> DataFrame:
-    """Consultations from a listing and fetched pages; what a page lacks is the listing's.  Records with markup or loose spaces are left to ``page_consultation``."""
-    rows = _of(spark, folder, "academia_consultations").where(~F.concat(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).rlike(r"[<>&]| [.,;:!?)]|[¿¡(] "))
-    page = F.concat(F.lit('<main><div class="box"><p>'), F.coalesce("title", F.lit("")), F.lit('</p></div><div class="box">'), F.coalesce("text", F.lit("")), F.lit("</div></main>"))
+    """Consultations from a listing and fetched pages; what a page lacks is the listing's."""
+    rows = _of(spark, folder, "academia_consultations")
+    page = F.concat(F.lit('<main><div class="box"><p>'), _escaped("title"), F.lit('</p></div><div class="box">'), _escaped("text"), F.lit("</div></main>"))
     listed = rows.select(F.explode(F.array(F.lit(5), F.lit(2))).alias("listing_page"), F.col("id").alias("url")).unionByName(spark.createDataFrame([(3, "sin página")], "listing_page int, url string"))
     listed = listed.withColumns({"question": F.lit("del listado"), "categories": F.array(F.lit("x"))})
     out = jobs.consultations(listed, rows.select(F.col("id").alias("url"), page.alias("page")))
@@ -261,7 +268,7 @@ _FIELDS = "list_filter([v.gender, v.age, v.year, v.duration], lambda x: x is not
     from (select *, list_distinct(list_filter(list_transform({_FIELDS}, lambda x: {_sq("x")}), lambda x: x <> '')) as g, list_filter(list_transform({_FIELDS}, lambda x: {_sq("x")}), lambda x: x <> '') as f from {_FICHAS} where code is not null)""")
 def recordings_job(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus's records from its interface: fields listed on the page, sound files, names of islands."""
-    rows = _recordings(spark, folder).where("url is not null or url is null").withColumn("url0", F.col("url")).withColumn("url", F.coalesce("url", "code"))
+    rows = _recordings(spark, folder).withColumn("url0", F.col("url")).withColumn("url", F.coalesce("url", "code"))
     v = "visible_metadata."
     cell = lambda c: F.concat(F.lit('<div class="jet-listing-dynamic-field__content"><b>'), c, F.lit("</b></div>"))
     topics = F.transform(F.coalesce(v + "topics", F.array().cast("array<string>")), lambda x: F.concat(F.lit("[t1] "), x))
