@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from telar.operators import dataset, dedup, dialogue, retrieval
 from telar.plans.skew import join_counted
-from telar.sources import attachments, documents, loaders, pages, sinks
+from telar.sources import attachments, documents, jobs, loaders, pages, sinks
 
 
 def test_token_set_ratio():
@@ -140,6 +140,43 @@ def test_bm25_against_fts5(spark):
         assert got.get(i, []) == sorted([(d, round(s, 6)) for d, s in rows], key=lambda x: (x[1], x[0])), q
 
 
+def test_bm25_of_a_written_index(spark, tmp_path, monkeypatch):
+    """A third of the documents hold one word; the same result from the index, and where the queries' words are too many to be sent to every task."""
+    rng = random.Random(4)
+    words = [f"voz{i}" for i in range(40)]
+    docs = [(f"d{i}", "s", None, " ".join(["hot"] * (i % 3 == 0) + [rng.choice(words) for _ in range(rng.randint(0, 12))])) for i in range(200)] + [(None, "s", "t", "hot")]
+    df = spark.createDataFrame(docs, "chunk_id string, source string, title string, text string")
+    asked = spark.createDataFrame([(i, "hot " + " ".join(rng.sample(words, 3))) for i in range(20)] + [(99, None), (98, "nada xyz")], "item_id int, text string")
+    index = sinks.write_index(df.where("chunk_id is not null"), str(tmp_path / "index"))
+    told = lambda out: sorted(tuple(r) for r in out.collect())
+    want = told(retrieval.bm25(df, asked))
+    assert len(want) == 100 and told(retrieval.bm25(retrieval.open_index(spark, str(tmp_path / "index")), asked)) == want == told(retrieval.bm25(index, asked))
+    monkeypatch.setattr(retrieval, "fits", lambda table: False)
+    assert told(retrieval.bm25(index, asked)) == want
+    assert retrieval.bm25(df.limit(0), asked).count() == 0
+
+
+def test_like_fallback(spark, monkeypatch):
+    docs = [("a", "La Guagua azul"), ("b", "una guagua"), ("c", None), (None, "guagua"), ("d", "GUAGUAS"), ("e", "")]
+    df = spark.createDataFrame([(k, t, 1) for k, t in docs], "chunk_id string, text string, item_id int")
+    asked = spark.createDataFrame([(1, "guagua"), (2, "GUA AZUL"), (3, ""), (4, None), (5, "azul"), (6, "guagua"), (None, "una")], "item_id int, text string")
+    hits = spark.createDataFrame([(5,)], "item_id int")
+    want = [(None, 1, "b"), (1, 1, "a"), (1, 2, "b"), (2, 1, "a"), (6, 1, "a"), (6, 2, "b")]
+    for chars in (8_000_000, 5):  # one block of queries, and one for each
+        monkeypatch.setattr(retrieval, "BLOCK_CHARS", chars)
+        got = retrieval.like_fallback(df, asked, hits, k=2).collect()
+        assert sorted(map(tuple, got), key=lambda r: (r[0] is not None, *r)) == want
+    assert retrieval.like_fallback(df, asked.limit(0), hits).count() == 0
+
+
+def test_jobs(spark):
+    row = spark.sql("select array(named_struct('a', 1), named_struct('a', 2), named_struct('a', 1)) as v").select(jobs.distinct_json(F.col("v")).alias("v")).first()
+    assert [x.a for x in row.v] == [1, 2]
+    done = spark.createDataFrame([("u", None), ("v", "no_page"), ("w", "no_page")], "url string, reason string")
+    out = jobs.manifest({"kept": 1}, "gevic", done)
+    assert out["kept"] == 1 and out["gevic_seen"] == 3 and out["gevic_saved"] == 1 and out["gevic_skipped"] == {"no_page": 2} and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00", out["gevic_finished_at"])
+
+
 def test_query_terms(spark):
     df = spark.createDataFrame([("¿Qué es una guagua en Gran Canaria?",), ("a la o",), ("uno dos tres cuatro cinco seis siete ocho nueve diez",)], "q string")
     assert [r[0] for r in df.select(retrieval.fts_query(F.col("q"))).collect()] == ["Qué OR una OR guagua OR Gran OR Canaria", "canarias", "uno OR dos OR tres OR cuatro OR cinco OR seis OR siete OR ocho"]
