@@ -37,7 +37,9 @@ def _chosen(rows: DataFrame, key: str, *order: str) -> DataFrame:
     at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
     first = rows.where(F.col(key).isNotNull()).select(key, F.struct(*order, at.alias("at")).alias("o")).groupBy(key).agg(F.min("o.at").alias("at") if not order else F.min("o").alias("o"))
     place = first.select(F.col("at" if not order else "o.at").alias("_at"))
-    return rows.withColumn("_at", at).join(place, "_at", "left_semi").drop("_at")
+    out = rows.withColumn("_at", at).join(place, "_at", "left_semi").drop("_at")
+    parts, cores = rows._jdf.queryExecution().toRdd().getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    return out.repartition(cores, key) if parts < cores else out  # a small file is one part: what follows is worth more
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:

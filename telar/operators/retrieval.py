@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -60,7 +60,7 @@ def _tokens(columns: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """A written full-text index: ``docs`` (key, dl, ``words`` of term and tf), ``terms`` (term, df), ``stats`` (n_docs, avg_len: one row)."""
+    """A written full-text index: ``docs`` (key, dl, words as they come), ``terms`` (term, df), ``stats`` (n_docs, avg_len: one row)."""
 
     docs: DataFrame
     terms: DataFrame
@@ -69,25 +69,15 @@ class Index:
 
 
 
-def _once(col: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(col)`` with ``col`` bound to a variable, as Spark would make it anew in every step of a lambda."""
-    return F.get(F.transform(F.array(col), use), F.lit(0))
-
-
 def _documents(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """Each document's words with their numbers: counted in its row, from its sorted words, so nothing is shuffled."""
-
-    def counted(t: Column) -> Column:
-        begins = F.filter(F.transform(t, lambda w, i: F.when((i == 0) | (F.get(t, i - 1) != w), i)), lambda i: i.isNotNull())
-        return _once(begins, lambda b: F.transform(b, lambda i, n: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(b, n + 1), F.size(t)) - i).cast("bigint").alias("tf"))))
-
-    words = _once(F.array_sort(_tokens(list(columns))), lambda t: F.struct(F.size(t).alias("dl"), counted(t).alias("words")))
-    return df.where(F.col(key).isNotNull()).select(F.col(key), words.alias("x")).select(key, "x.dl", "x.words")
+    """Each document's words as they come, and their number."""
+    return df.where(F.col(key).isNotNull()).select(F.col(key), _tokens(list(columns)).alias("words")).select(key, F.size("words").alias("dl"), "words")
 
 
 def postings(df: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("source", "title", "text")) -> DataFrame:
     """``term, key, tf, dl``: the inverted index over the given columns."""
-    return _documents(df, key, columns).select(key, "dl", F.explode("words").alias("w")).select("w.term", key, "w.tf", "dl")
+    words = _documents(df, key, columns).select(key, "dl", F.explode("words").alias("term"))
+    return words.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, "tf", "dl")
 
 
 def corpus_stats(df: DataFrame, columns: tuple[str, ...] = ("source", "title", "text")) -> DataFrame:
@@ -99,7 +89,7 @@ def build_index(df: DataFrame, path: str, key: str = "chunk_id", columns: tuple[
     """Write the index of a table with unique keys; null keys are left out.  Words are made once; terms are sorted, so readers prune them."""
     _documents(df, key, columns).write.mode(mode).parquet(f"{path}/docs")
     docs = df.sparkSession.read.parquet(f"{path}/docs")
-    terms = docs.select(F.explode("words.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms.sort("term").write.mode(mode).parquet(f"{path}/terms")
     docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_len")).write.mode(mode).parquet(f"{path}/stats")
     return open_index(df.sparkSession, path)
@@ -128,12 +118,12 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, key: str = "chunk_id", que
     rated = weights.join(index.terms, "term").join(F.broadcast(index.stats)).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     rated = rated.withColumn("idf", F.when(F.col("idf") <= 0, F.lit(IDF_FLOOR)).otherwise(F.col("idf"))).select("term", query_key, "times", "idf", "avg_len")
     rated = scratch.cut(rated, "rated")
-    words = lambda df: df.select(index.key, "dl", F.explode("words").alias("w")).select(index.key, "dl", "w.term", "w.tf")
-    if fits(rated):
-        # by document first: sums need no shuffle after that, and a document is less than its pairs with the queries
-        found = words(index.docs.repartition(index.key)).join(F.broadcast(rated), "term")
-    else:
-        found = words(index.docs).join(rated, "term")
+    # by document first where all else goes to every task: counts and sums need no shuffle after that, and a document is less than its pairs with the queries
+    small = fits(rated)
+    words = (index.docs.repartition(index.key) if small else index.docs).select(index.key, "dl", F.explode("words").alias("term"))
+    terms = rated.select("term").distinct()
+    counted = words.join(F.broadcast(terms) if small else terms, "term").groupBy(index.key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    found = counted.join(F.broadcast(rated) if small else rated, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
     scores = found.groupBy(query_key, index.key).agg(F.round(-F.sum(part), 6).alias("score"))
     best = Window.partitionBy(query_key).orderBy("score", index.key)
