@@ -108,15 +108,24 @@ class Sketcher:
 
 
 WORDS, FARS = [f"w{i}" for i in range(BITS // 64)], [f"far{i}" for i in range(PIVOTS // 8)]
-_SCHEMA = "tbl string, id string, c1 bigint, c2 bigint, n int, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in [*WORDS, *FARS])
+_SCHEMA = "h1 bigint, h2 bigint, tbl string, id string, c1 bigint, c2 bigint, n int, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in [*WORDS, *FARS])
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
-    """One row per text with word pairs: its class ``c1, c2`` (texts with the same pairs), bands, fingerprint and pivot distances."""
+def _sketches(texts: DataFrame, heads: Shared) -> DataFrame:
+    """One row per text with word pairs: its class ``c1, c2`` (texts with the same pairs), bands, fingerprint and pivot distances.
+
+    Rows that the filter of chosen rows cannot have are not sketched: of them, equal texts of chosen ones, come the keys, with nulls for the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher()
+        chosen = heads.value
         for batch in batches:
+            left = ~hits(chosen, batch.column("at").to_numpy(zero_copy_only=False))
+            if left.any():
+                k = int(left.sum())
+                yield pa.RecordBatch.from_arrays([*batch.select(["h1", "h2", "tbl", "id"]).filter(pa.array(left)).columns, *[pa.nulls(k, f.type) for f in out[4:]]], schema=pa.schema(out))
+                batch = batch.filter(pa.array(~left))
             tbl, ids = batch.column("tbl"), batch.column("id")
             salt = np.array([xxhash.xxh64_intdigest(x or "") for x in tbl.dictionary_encode().dictionary.to_pylist()], dtype=np.uint64)
             salt = salt[tbl.dictionary_encode().indices.to_numpy()] if len(batch) else np.zeros(0, np.uint64)
@@ -127,13 +136,15 @@ def _sketches(texts: DataFrame) -> DataFrame:
             rows = pa.array(s["rows"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    tbl.take(rows), ids.take(rows), pa.array(s["c1"]), pa.array(s["c2"]), pa.array(s["n"].astype(np.int32)),
+                    *[batch.column(c).take(rows) for c in ("h1", "h2")], tbl.take(rows), ids.take(rows), pa.array(s["c1"]), pa.array(s["c2"]), pa.array(s["n"].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * sketcher.bands), pa.array(s["keys"].ravel())),
                     *[pa.array(np.ascontiguousarray(s[part][:, i])) for part in ("bits", "far") for i in range(s[part].shape[1])],
                 ],
-                names=["tbl", "id", "c1", "c2", "n", "keys", *WORDS, *FARS],
+                schema=pa.schema(out),
             )
 
+    kinds = {"h1": pa.int64(), "h2": pa.int64(), "tbl": pa.string(), "id": pa.string(), "c1": pa.int64(), "c2": pa.int64(), "n": pa.int32(), "keys": pa.list_(pa.int64())}
+    out = [pa.field(c, t) for c, t in (kinds | {c: pa.int64() for c in [*WORDS, *FARS]}).items()]
     return texts.mapInArrow(run, _SCHEMA)
 
 
@@ -165,7 +176,7 @@ class NearDuplicates:
 
     ``texts`` has the columns ``tbl``, ``id`` and ``text``; only texts of one ``tbl`` are compared.
 
-    1. Texts with the same set of word pairs are one class; all later steps see one of each class.
+    1. Of equal texts one is read on: chosen by hashes, before any text goes to Python.  Texts with the same set of word pairs are one class.
     2. Candidates share a min-hash band and are near enough in size.  Bands are counted, then read again through a filter of fixed size for those
        of several texts; buckets of one class go, and what is left is joined, buckets of any size in cells (``_pairs_within``).
     3. Pivot tables: each fingerprint's Hamming distances to the reference fingerprints are known.  For a pair at the threshold the
@@ -183,8 +194,17 @@ class NearDuplicates:
         self.scratch = Scratch(texts.sparkSession, "near")
         self.texts = texts.select(F.col("tbl").cast("string"), F.col("id").cast("string"), F.col("text").cast("string")).where("tbl is not null and id is not null and text is not null")
         self.similarity = similarity
-        self.sketches = self.scratch.cut(_sketches(self.texts), "sketches")
-        self.members = self.sketches.select("tbl", "id", "c1", "c2").distinct()
+        # 128 bits for a text of a table; ``at`` stands for the row
+        told = self.texts.select("tbl", "id", "text", F.xxhash64(F.lit(1), "tbl", "text").alias("h1"), F.xxhash64(F.lit(2), "tbl", "text").alias("h2"), F.xxhash64("tbl", "id").alias("at"))
+        heads = self.scratch.cut(told.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("times")), "heads")
+        copied = heads.where("times > 1")
+        every = self.scratch.cut(_sketches(told, Shared(texts.sparkSession, bit_filter(heads, "at"))), "sketches")
+        self.sketches = every.where("n is not null")
+        of = keep(self.sketches.select("h1", "h2", "c1", "c2"), "h1", copied).distinct().join(copied.drop("at"), ["h1", "h2"])
+        of = self.scratch.cut(of, "of")
+        others = every.where("n is null").select("tbl", "id", "h1", "h2")
+        others = join_counted(others, of, ["h1", "h2"], "times", of.agg(F.sum("times")).first()[0] or 0)
+        self.members = self.sketches.select("tbl", "id", "c1", "c2").unionByName(others.select("tbl", "id", "c1", "c2")).distinct()
         self.links = self.scratch.cut(self._verify(self._survivors(self._candidates())), "links")
 
     def _bands(self, wanted: Shared) -> DataFrame:
@@ -259,7 +279,10 @@ class NearDuplicates:
         copies = self.scratch.cut(m.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "copies")
         same = _pairs_within(keep(m, "c1", copies), copies, ["c1", "c2"], ["tbl", "id"], "id").where("id_a < id_b").select(F.col("tbl_a").alias("tbl"), "id_a", "id_b")
         out = linked.unionByName(same).where("id_a != id_b")
-        return out.select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+        out = out.select("tbl", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+        # only ids of several classes, which have several texts, can bring a pair twice
+        once = m.groupBy(F.xxhash64("tbl", "id").alias("at")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty()
+        return out if once else out.distinct()
 
     def groups(self) -> DataFrame:
         """``tbl, id, class_id, group_id, n_links``: a row per text with word pairs; links are counted between classes, copies share theirs."""

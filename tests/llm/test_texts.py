@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from telar.llm import near_duplicates, pii
@@ -66,6 +67,24 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
     assert seen.candidates >= seen.by_pivots + seen.by_fingerprints
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_near_duplicates_of_many_copies(spark, monkeypatch, full):
+    """Of equal texts one is read on, whatever their number, and a full filter only lets more pass; an id with two texts brings each pair once."""
+    if full:
+        monkeypatch.setattr(near_duplicates, "bit_filter", lambda df, column: np.full(1, 255, np.uint8))
+    rng = random.Random(9)
+    rows = [("t", f"c{i}-{k}", text) for i, text in enumerate(prose(rng, 30) for _ in range(20)) for k in range(15)]
+    edited = rows[0][2].split()
+    edited[3] = "cambio"
+    rows += [("t", i, text) for i in ("m", "o") for text in (rows[0][2], " ".join(edited))] + [("u", "c0-0", rows[0][2])] + [("t", f"s{i}", prose(rng, 30)) for i in range(10)]
+    nd = NearDuplicates(spark.createDataFrame(rows, "tbl string, id string, text string"))
+    sets = [(t, i, word_pairs(x)) for t, i, x in rows]
+    want = {(t, a, b) for t, a, p in sets for u, b, q in sets if t == u and a < b and len(p & q) >= 0.7 * len(p | q)}
+    got = [(r.tbl, r.id_a, r.id_b) for r in nd.pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert nd.sketches.count() <= (315 if full else 40) and nd.members.count() == len({(t, i, frozenset(p)) for t, i, p in sets})
+
+
 def test_near_duplicates_empty(spark):
     nd = NearDuplicates(spark.createDataFrame([], "tbl string, id string, text string"))
     assert nd.pairs().count() == nd.groups().count() == 0
