@@ -317,6 +317,20 @@ def test_cut_at_a_limit(spark):
     assert "u" not in {r.id for r in qa.found().collect()}
 
 
+def test_found_runs_no_stage_without_effect(spark, monkeypatch):
+    """The sort and the spikes decide nothing for ``found``; the report runs them."""
+
+    def never(self):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(QaDefects, "shortened", never)
+    monkeypatch.setattr(QaDefects, "spikes", never)
+    qa = QaDefects(spark.createDataFrame([("a", Q, "Pues", None), ("b", Q, "Pues sí.", None)], "id string, question string, answer string, messages array<struct<role:string,content:string>>"))
+    assert [(r.id, r.defect) for r in qa.found().collect()] == [("a", "truncated")]
+    with pytest.raises(AssertionError):
+        qa.report()
+
+
 def test_languages():
     assert [language_of(t) for t in ("La casa de los padres y el perro", "the house of the parents", "a casa dos pais não é do cão", "la maison des parents et le chien", "das Haus der Eltern und der Hund", "123", "")] == ["es", "en", "pt", "fr", "de", None, None]
 
