@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telar.functions import rx
 from telar.operators.retrieval import chunk_id, normalize
+from telar.sources import files
 from telar.sources.lines import numbered, placed
 
 # Where a document's id, title and text may stand, and the known folders.
@@ -49,23 +51,25 @@ def _named(df: DataFrame, source: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, root: str, source: str) -> DataFrame:
-    """All json, jsonl, csv, txt and md files below a folder; bad lines and files of other kinds are skipped."""
+    """All json, jsonl, csv, txt and md files below a folder; bad lines and files of other kinds are skipped.
 
-    def read(glob: str) -> DataFrameReader:
-        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-
-    lines = numbered(placed(read("*.jsonl").text(root))).where(rx.strip(F.col("value")) != "").withColumnRenamed("value", "raw")
-    whole = read("*.json").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    Files are listed and read in tasks: the driver knows none but the csv tables.
+    """
+    every = files.listed(spark, root)
+    of = lambda *kinds: every.where(F.regexp_extract("path", r"\.([^./]*)$", 1).isin(*kinds))
+    lines = files.lines(of("jsonl")).where(rx.strip(F.col("value")) != "").withColumnRenamed("value", "raw")
+    whole = files.whole(of("json")).withColumnRenamed("value", "raw")
     listed = F.from_json(F.when(F.ltrim("raw").startswith("["), F.col("raw")), T.ArrayType(T.StringType()))
     items = whole.select("path", F.posexplode(F.coalesce(listed, F.array("raw"))).alias("line", "raw")).withColumn("line", F.col("line") + 1)
     kinds = [lines, items]
-    if not read("*.csv").format("binaryFile").load(root).select("path").isEmpty():  # a table without files has no columns to infer
-        table = read("*.csv").csv(root, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
+    tables = sorted(re.sub(r"([\[\]{}*?,\\])", r"\\\1", r.path) for r in of("csv").select("path").toLocalIterator())
+    if tables:  # a table without files has no columns to infer
+        table = spark.read.csv(tables, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
         kinds.append(numbered(placed(table, F.to_json(F.struct(*table.columns)).alias("raw"))))
     known = [
         normalize_document(_named(df, source).withColumn("fallback_id", F.concat_ws(":", "stem", "line")).withColumn("fallback_title", F.col("stem"))).select(*COLUMNS) for df in kinds
     ]
-    plain = read("*.{txt,md}").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), normalize(F.col("value")).alias("text"))
+    plain = files.whole(of("txt", "md")).select("path", normalize(F.col("value")).alias("text"))
     plain = _named(plain.where("text != ''"), source).select("source", "path", F.col("stem").alias("doc_id"), F.col("stem").alias("title"), "text")
     return reduce(lambda a, b: a.unionByName(b), [*known, plain])
 

@@ -4,13 +4,14 @@ import json
 import random
 import re
 import sqlite3
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from telar.operators import dataset, dedup, dialogue, retrieval
 from telar.plans.skew import join_counted
-from telar.sources import attachments, documents, jobs, loaders, pages, sinks
+from telar.sources import attachments, documents, files, jobs, loaders, pages, sinks
 
 
 def test_token_set_ratio():
@@ -291,6 +292,31 @@ def test_documents(spark, tmp_path):
         documents.read_knowledge(spark, str(tmp_path / "none"))
 
 
+def test_files_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    """No file is listed on the driver; long files of lines are read in parts, whatever ends their lines."""
+    monkeypatch.setattr(files, "RANGE", 7)
+    told = {"a b/ñ.jsonl": b"one\r\ntwo\rthree\n\nlonger line here\nend", "c.jsonl": b"1234567\n\r\n123456\r\n8\n", "d.jsonl": b"", "x=1/_e=2/f.jsonl": b"abcdef\nabcdefg\n", ".h/g.jsonl": b"no", "_i.jsonl": b"no", "j.txt": b"k"}
+    for name, data in told.items():
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(data)
+    every = files.listed(spark, str(tmp_path / "t"))
+    seen = {k: v for k, v in told.items() if v != b"no"}
+    assert {(r.path, r.size) for r in every.collect()} == {(f"file:{tmp_path}/t/{k}", len(v)) for k, v in seen.items()}
+    got = {(r.path, r.line, r.value) for r in files.lines(every.where("path like '%.jsonl'")).collect()}
+    assert got == {(f"file:{tmp_path}/t/{k}", n, x.decode()) for k, v in seen.items() if k != "j.txt" for n, x in enumerate(v.replace(b"\r\n", b"\n").replace(b"\r", b"\n").removesuffix(b"\n").split(b"\n") if v else [], 1)}
+    by_spark = spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "t")).select(F.col("_metadata.file_path").alias("path")).distinct()
+    assert {unquote(r.path) for r in by_spark.collect()} == {r.path for r in every.where("size > 0").collect()}
+
+
+def test_documents_of_many_files(spark, tmp_path, monkeypatch):
+    """The plan scans no text files by name: a table of paths does."""
+    (tmp_path / "gevic").mkdir()
+    for i in range(20):
+        (tmp_path / "gevic" / f"{i}.txt").write_text(f"t {i}")
+    df = documents.read_knowledge(spark, str(tmp_path))
+    assert not [p for p in df.inputFiles() if p.endswith(".txt")] and {(r.doc_id, r.text) for r in df.collect()} == {(str(i), f"t {i}") for i in range(20)}
+
+
 def test_pages(spark):
     def one(parser, page):
         return spark.createDataFrame([(page, "https://a.es/x/")], "h string, u string").select(parser(F.col("h"), F.col("u")).alias("r")).first().r
