@@ -292,6 +292,17 @@ def test_documents(spark, tmp_path):
         documents.read_knowledge(spark, str(tmp_path / "none"))
 
 
+def test_fuzzy_links_shuffle_no_text_for_each_block(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(dedup, "MOST_TASKS", 2)
+    rows = [(i, f"palabra{i % 9} otra cosa larga numero{i % 7}") for i in range(40)]
+    links = dedup.fuzzy_links(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    want = {(i, j) for i, t in rows for j, u in rows if i < j and t != u and dedup.token_set_ratio(" ".join(sorted(set(t.split()))), " ".join(sorted(set(u.split())))) >= 95}
+    assert {tuple(r) for r in links.collect()} == want
+
+
 def test_files_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
     """No file is listed on the driver; long files of lines are read in parts, whatever ends their lines."""
     monkeypatch.setattr(files, "RANGE", 7)
