@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ SIMILARITY = 0.7
 BANDS, ROWS = 28, 5  # a pair at 0.70 is missed once in 170 times, at 0.75 once in 2,000, at 0.80 once in 60,000
 BITS = 256  # of a fingerprint
 PIVOTS = 24
+AGREE, LOST = 128, 1e-6  # min-hashes of which a bit is kept; part of the pairs at the threshold that agree in too few of them
+ROUND_KEYS = 40_000_000  # bands of texts that are joined in one round
 CELL = 1000  # rows of one key that meet in one piece
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -39,6 +42,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def most_apart(similarity: float) -> int:
+    """In how many of ``AGREE`` signs two texts may differ: at this similarity the least number that all but ``LOST`` of the pairs keep to."""
+    differ, kept, k = (1 - similarity) / 2, 0.0, -1
+    while kept < 1 - LOST:
+        k += 1
+        kept += math.comb(AGREE, k) * differ**k * (1 - differ) ** (AGREE - k)
+    return k
+
+
 class Sketcher:
     """Word pairs of texts as hashes, their min-hash bands, fingerprints and distances to the pivots."""
 
@@ -91,12 +103,16 @@ class Sketcher:
             c1 = _mix(np.add.reduceat(_mix(pair), at) + salt[rows])
             c2 = _mix(np.bitwise_xor.reduceat(_mix(pair ^ _U(0xA5A5A5A5A5A5A5A5)), at) + salt[rows])
             keys = np.empty((len(rows), self.bands), dtype=np.uint64)
+            agree = np.zeros((len(rows), AGREE), dtype=bool)
             for b in range(self.bands):
                 acc = salt[rows] + _U(b + 1)
                 for r in range(self.rows):
                     low = np.minimum.reduceat(pair * self.factor[b * self.rows + r], at)
                     acc = _mix(acc + low) * self.fold[r]
+                    if b * self.rows + r < AGREE:
+                        agree[:, b * self.rows + r] = _mix(low) & _U(1)
                 keys[:, b] = acc
+            agree = np.packbits(agree, axis=1).view(np.int64)
             bits = np.zeros((len(texts), BITS), dtype=bool)
             bits[doc, (pair >> _U(40)) & _U(BITS - 1)] = True
             bits = bits[rows]
@@ -104,11 +120,11 @@ class Sketcher:
             # a byte each, eight to a number; the one distance of 256 counts as 255, which keeps differences from growing
             far = bits.sum(1, dtype=np.float32)[:, None] + self.pivots.sum(1)[None, :] - 2 * inner
             far = np.ascontiguousarray(np.minimum(far, 255).astype(np.uint8)).view(np.int64)
-        return {"rows": rows, "n": n[rows], "c1": c1.view(np.int64), "c2": c2.view(np.int64), "keys": keys.view(np.int64), "bits": np.packbits(bits, axis=1).view(np.int64), "far": far}
+        return {"rows": rows, "n": n[rows], "c1": c1.view(np.int64), "c2": c2.view(np.int64), "keys": keys.view(np.int64), "bits": np.packbits(bits, axis=1).view(np.int64), "far": far, "agree": agree}
 
 
-WORDS, FARS = [f"w{i}" for i in range(BITS // 64)], [f"far{i}" for i in range(PIVOTS // 8)]
-_SCHEMA = "h1 bigint, h2 bigint, tbl string, id string, c1 bigint, c2 bigint, n int, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in [*WORDS, *FARS])
+WORDS, FARS, SIGNS = [f"w{i}" for i in range(BITS // 64)], [f"far{i}" for i in range(PIVOTS // 8)], [f"s{i}" for i in range(AGREE // 64)]
+_SCHEMA = "h1 bigint, h2 bigint, tbl string, id string, c1 bigint, c2 bigint, n int, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in [*WORDS, *FARS, *SIGNS])
 
 
 def _sketches(texts: DataFrame, heads: Shared) -> DataFrame:
@@ -138,13 +154,13 @@ def _sketches(texts: DataFrame, heads: Shared) -> DataFrame:
                 [
                     *[batch.column(c).take(rows) for c in ("h1", "h2")], tbl.take(rows), ids.take(rows), pa.array(s["c1"]), pa.array(s["c2"]), pa.array(s["n"].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * sketcher.bands), pa.array(s["keys"].ravel())),
-                    *[pa.array(np.ascontiguousarray(s[part][:, i])) for part in ("bits", "far") for i in range(s[part].shape[1])],
+                    *[pa.array(np.ascontiguousarray(s[part][:, i])) for part in ("bits", "far", "agree") for i in range(s[part].shape[1])],
                 ],
                 schema=pa.schema(out),
             )
 
     kinds = {"h1": pa.int64(), "h2": pa.int64(), "tbl": pa.string(), "id": pa.string(), "c1": pa.int64(), "c2": pa.int64(), "n": pa.int32(), "keys": pa.list_(pa.int64())}
-    out = [pa.field(c, t) for c, t in (kinds | {c: pa.int64() for c in [*WORDS, *FARS]}).items()]
+    out = [pa.field(c, t) for c, t in (kinds | {c: pa.int64() for c in [*WORDS, *FARS, *SIGNS]}).items()]
     return texts.mapInArrow(run, _SCHEMA)
 
 
@@ -177,8 +193,11 @@ class NearDuplicates:
     ``texts`` has the columns ``tbl``, ``id`` and ``text``; only texts of one ``tbl`` are compared.
 
     1. Of equal texts one is read on: chosen by hashes, before any text goes to Python.  Texts with the same set of word pairs are one class.
-    2. Candidates share a min-hash band and are near enough in size.  Bands are counted, then read again through a filter of fixed size for those
-       of several texts; buckets of one class go, and what is left is joined, buckets of any size in cells (``_pairs_within``).
+    2. Candidates share a min-hash band, are near enough in size and agree in enough of 128 signs, a bit of a min-hash each: two texts agree in one
+       with (1 + s) / 2, so of unrelated texts that meet in a band, which grow with the square of the texts, few are left, and of pairs at the
+       threshold one in a million is lost.  Bands are counted, then read again through a filter of fixed size for those of several texts;
+       buckets of one class go, and what is left is joined, buckets of any size in cells (``_pairs_within``).  Beyond ``ROUND_KEYS`` the
+       bands take turns, and the files of one turn go before the next.
     3. Pivot tables: each fingerprint's Hamming distances to the reference fingerprints are known.  For a pair at the threshold the
        fingerprints differ in at most (1 - s) / (1 + s) times the sum of both sizes, and no coordinate can differ by more; pairs beyond are
        discarded, first by the largest coordinate difference, then by the fingerprints' distance itself.
@@ -207,30 +226,48 @@ class NearDuplicates:
         self.members = self.sketches.select("tbl", "id", "c1", "c2").unionByName(others.select("tbl", "id", "c1", "c2")).distinct()
         self.links = self.scratch.cut(self._verify(self._survivors(self._candidates())), "links")
 
-    def _bands(self, wanted: Shared) -> DataFrame:
-        """``key, c1, n``: the bands of each text whose keys the filter may have."""
+    def _bands(self, wanted: Shared, at: int, many: int) -> DataFrame:
+        """``key, c1, n`` and the signs: of ``many`` bands of each text, from ``at`` on, those whose keys the filter may have."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = wanted.value
             for batch in batches:
-                keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(batch)), np.diff(batch.column(2).offsets.to_numpy()))
+                keys = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(batch)), np.diff(batch.column(0).offsets.to_numpy()))
                 p = np.flatnonzero(hits(bits, keys))
                 if len(p):
                     of = pa.array(row[p])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[p]), batch.column(0).take(of), batch.column(1).take(of)], names=["key", "c1", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[p]), *[c.take(of) for c in batch.columns[1:]]], names=["key", "c1", "n", *SIGNS])
 
-        return self.sketches.select("c1", "n", "keys").mapInArrow(run, "key bigint, c1 bigint, n int")
+        rows = self.sketches.select(F.slice("keys", at + 1, many).alias("keys"), "c1", "n", *SIGNS)
+        return rows.mapInArrow(run, "key bigint, c1 bigint, n int, " + ", ".join(f"{c} bigint" for c in SIGNS))
 
     def _candidates(self) -> DataFrame:
-        counts = self.sketches.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        rounds = min(BANDS, max(1, -(-self.sketches.count() * BANDS // ROUND_KEYS)))
+        if rounds == 1:
+            return self._meet(0, BANDS)[0].distinct()
+        many, out = -(-BANDS // rounds), None
+        for at in range(0, BANDS, many):
+            found, read = self._meet(at, min(many, BANDS - at))
+            found = self.scratch.cut(found.distinct(), "round")
+            for df in read:
+                self.scratch.discard(df)
+            self.scratch.spark.sparkContext._jvm.System.gc()  # the files of shuffles that no plan needs any more go
+            out = found if out is None else out.unionByName(found)
+        return out.distinct()
+
+    def _meet(self, at: int, many: int) -> tuple[DataFrame, list[DataFrame]]:
+        """``a, b``: classes that share one of some bands, are near enough in size and agree in enough signs; and the tables that it reads."""
+        counts = self.sketches.select(F.explode(F.slice("keys", at + 1, many)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
         counts = self.scratch.cut(counts.select("key"), "counts")
-        found = self.scratch.cut(self._bands(Shared(counts.sparkSession, bit_filter(counts, "key"))), "bands")
+        found = self.scratch.cut(self._bands(Shared(counts.sparkSession, bit_filter(counts, "key")), at, many), "bands")
         several = found.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo != hi").select("key", "times")
         several = self.scratch.cut(several, "several")
-        both = _pairs_within(keep(found, "key", several), several, ["key"], ["c1", "n"], "c1")
+        both = _pairs_within(keep(found, "key", several), several, ["key"], ["c1", "n", *SIGNS], "c1")
         near = F.least("n_a", "n_b") >= F.lit(self.similarity) * F.greatest("n_a", "n_b")
-        return both.where((F.col("c1_a") < F.col("c1_b")) & near).select(F.col("c1_a").alias("a"), F.col("c1_b").alias("b")).distinct()
+        apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SIGNS), F.lit(0))
+        out = both.where((F.col("c1_a") < F.col("c1_b")) & near & (apart <= most_apart(self.similarity))).select(F.col("c1_a").alias("a"), F.col("c1_b").alias("b"))
+        return out, [counts, found, several]
 
     def _classes(self, pairs: DataFrame, tag: str) -> DataFrame:
         return self.scratch.cut(pairs.select(F.col("a").alias("c1")).unionByName(pairs.select(F.col("b").alias("c1"))).distinct(), tag)

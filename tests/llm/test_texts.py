@@ -85,6 +85,23 @@ def test_near_duplicates_of_many_copies(spark, monkeypatch, full):
     assert nd.sketches.count() <= (315 if full else 40) and nd.members.count() == len({(t, i, frozenset(p)) for t, i, p in sets})
 
 
+@pytest.mark.parametrize("keys", [None, 2000])
+def test_near_duplicates_of_texts_with_common_passages(spark, monkeypatch, keys):
+    """Texts that only have a passage in common meet in bands, but few of them are candidates, in one round of bands or in several."""
+    if keys:
+        monkeypatch.setattr(near_duplicates, "ROUND_KEYS", keys)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(25)]
+    rows = [("t", f"n{i:03d}", " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(35)])) for i in range(200)]
+    for i in range(20):
+        edited = rows[i][2].split()
+        edited[rng.randrange(60)] = "cambio"
+        rows.append(("t", f"e{i:03d}", " ".join(edited)))
+    nd = NearDuplicates(spark.createDataFrame(rows, "tbl string, id string, text string"))
+    assert {(r.id_a, r.id_b) for r in nd.pairs().collect()} == {(f"e{i:03d}", f"n{i:03d}") for i in range(20)}
+    assert nd.discarded().first().candidates < 160
+
+
 def test_near_duplicates_empty(spark):
     nd = NearDuplicates(spark.createDataFrame([], "tbl string, id string, text string"))
     assert nd.pairs().count() == nd.groups().count() == 0
