@@ -91,6 +91,27 @@ def test_fuzzy_links_of_misspelt_words(spark, monkeypatch, threshold, block, til
     assert {tuple(sorted((one.ids[i], one.ids[j]))) for i, j in dedup._linked(one, one, threshold) if texts[one.ids[i]] != texts[one.ids[j]]} >= want
 
 
+def test_fuzzy_links_of_unrelated_texts_make_no_matrix(monkeypatch):
+    """Texts that have neither rare words nor characters in common are set aside by looking words up, and not by products over all pairs."""
+
+    def dense(*_):
+        raise AssertionError("a matrix over all pairs")
+
+    rng = random.Random(21)
+    texts = []
+    for i in range(26):
+        letters = [chr(97 + (7 * i + k) % 26) for k in range(5)]
+        texts.append(" ".join(sorted({"de", "la", *("".join(rng.choice(letters) for _ in range(9)) for _ in range(30))})))
+    held = " ".join(sorted({*texts[0].split(), *texts[1].split()}))  # has all words of two others
+    one = dedup._Block(list(range(27)), [*texts, held])
+    monkeypatch.setattr(dedup, "MOST_MET", 100)
+    seen = []
+    monkeypatch.setattr(dedup, "token_set_ratio", lambda a, b: seen.append(1) or 0.0)
+    monkeypatch.setattr(dedup._Block, "_dense", staticmethod(dense))
+    assert {tuple(sorted((one.ids[i], one.ids[j]))) for i, j in dedup._linked(one, one, 95.0)} == {(0, 26), (1, 26)}
+    assert not seen
+
+
 def test_minhash_dedup(spark):
     rng = random.Random(2)
     base = [[f"w{rng.randint(0, 3000)}" for _ in range(80)] for _ in range(10)]
